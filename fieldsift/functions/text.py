@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -119,6 +120,8 @@ def _accent_tables() -> tuple[str, str, dict[str, str]]:
         if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:
             continue
         char = chr(point)
+        if not (unicodedata.decomposition(char) or unicodedata.combining(char)):
+            continue
         plain = "".join(
             c for c in unicodedata.normalize("NFKD", char)
             if not unicodedata.combining(c)
@@ -153,20 +156,27 @@ def _hangul_letters(syllable: Column) -> Column:
 def strip_accents(text: Column) -> Column:
     """Plain base characters: decomposed for compatibility, marks removed."""
     source, target, longer = _accent_tables()
-    one_to_one = F.translate(text, source, target)
-    expansions = F.create_map(*[F.lit(v) for pair in longer.items() for v in pair])
+    # One literal instead of a call per entry.
+    expansions = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
+    hangul = "".join(map(chr, range(0xAC00, 0xD7A4)))
 
     def expand(char: Column) -> Column:
         return (
-            F.when(char.between("가", "힣"), _hangul_letters(char))
-            .when(char.isin(*longer), expansions[char])
+            F.when(char.between(hangul[0], hangul[-1]), _hangul_letters(char))
+            .when(char > "\xbb", F.coalesce(expansions[char], char))
             .otherwise(char)
         )
 
-    per_char = F.array_join(F.transform(F.split(one_to_one, ""), expand), "")
-    needs_expansion = one_to_one.rlike(f"[{''.join(longer)}가-힣]")
-    return (
-        F.when(is_ascii(text), text)
-        .when(needs_expansion, per_char)
-        .otherwise(one_to_one)
+    def expand_rare(plain: Column) -> Column:
+        # Up to U+00FF only the three fractions have longer replacements, so
+        # most text is done here. Other text is tested by hashed lookups.
+        latin = ~plain.rlike(r"[^\x00-\xbb\xbf-\xff]")
+        kept = F.translate(plain, "".join(longer) + hangul, "")
+        per_char = F.array_join(F.transform(F.split(plain, ""), expand), "")
+        return F.when(
+            latin | (F.char_length(kept) == F.char_length(plain)), plain
+        ).otherwise(per_char)
+
+    return F.when(is_ascii(text), text).otherwise(
+        bind(F.translate(text, source, target), expand_rare)
     )

@@ -100,56 +100,61 @@ def render_conversations(
     without gathering it in one task. ``valid`` is false for a conversation that
     starts with a system role or does not alternate.
     """
+    chunked = turns.withColumn("chunk", F.floor(F.col("turn") / turns_per_chunk))
+
     name = F.when(F.col("role") == "assistant", "model").otherwise(F.col("role"))
     piece = F.concat(
         F.lit(TURN_START), name, F.lit("\n"), py_strip(F.col("text")), F.lit(TURN_END)
     )
-    chunked = turns.withColumn("chunk", F.floor(F.col("turn") / turns_per_chunk))
-    in_order = F.array_sort(
-        F.collect_list(
-            F.struct("turn", (F.col("role") == "user").alias("is_user"), "role",
-                     piece.alias("piece"))
-        )
+    pieces = F.array_sort(F.collect_list(F.struct("turn", piece.alias("piece"))))
+    texts = chunked.groupBy("conv_id", "chunk").agg(
+        F.array_join(F.transform(pieces, lambda t: t["piece"]), "").alias("rendered")
     )
-    chunks = chunked.groupBy("conv_id", "chunk").agg(
-        F.count("*").alias("n_turns"), in_order.alias("turns")
+
+    # The check works on roles alone. A turn is a user turn where its place is
+    # even; whether a chunk starts at an even place follows from the sizes of
+    # the earlier chunks.
+    roles = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    in_chunk = chunked.groupBy("conv_id", "chunk").agg(
+        F.count("*").alias("n_turns"), roles.alias("roles")
     )
 
-    # Turn i of a chunk is a user turn where its place is even. Whether the
-    # chunk starts at an even place depends on the sizes of the earlier ones.
     def users_at(parity: int) -> Column:
         return F.forall(
-            F.transform("turns", lambda t, i: t["is_user"] == (i % 2 == parity)),
+            F.transform(
+                "roles", lambda t, i: (t["role"] == "user") == (i % 2 == parity)
+            ),
             lambda fits: fits,
         )
 
-    flags = chunks.select(
-        "conv_id", "chunk", "n_turns",
-        F.struct(users_at(0).alias("even"), users_at(1).alias("odd")).alias("fits"),
-        (F.get("turns", F.lit(0))["role"] == "system").alias("starts_as_system"),
-        F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("rendered"),
-    )
-    narrow = flags.select("conv_id", "chunk", "n_turns", "fits", "starts_as_system")
-    in_conversation = Window.partitionBy("conv_id").orderBy("chunk")
-    before = F.coalesce(
-        F.sum("n_turns").over(in_conversation.rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    placed = narrow.withColumn("before", before)
-    verdicts = placed.groupBy("conv_id").agg(
-        F.bool_and(
-            F.when(F.col("before") % 2 == 0, F.col("fits.even")).otherwise(
-                F.col("fits.odd")
+    in_order = Window.partitionBy("conv_id").orderBy("chunk")
+    whole = Window.partitionBy("conv_id")
+    before = F.sum("n_turns").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    checked = (
+        in_chunk.select(
+            "conv_id", "chunk", "n_turns",
+            users_at(0).alias("fits_even"),
+            users_at(1).alias("fits_odd"),
+            (F.get("roles", F.lit(0))["role"] == "system").alias("system_first"),
+        )
+        .withColumn("before", F.coalesce(before, F.lit(0)))
+        .withColumn(
+            "fits",
+            F.when(F.col("before") % 2 == 0, F.col("fits_even")).otherwise(
+                F.col("fits_odd")
             )
-            & ~((F.col("before") == 0) & F.col("starts_as_system"))
-        ).alias("valid"),
-        F.max("chunk").alias("last_chunk"),
+            & ~((F.col("before") == 0) & F.col("system_first")),
+        )
+        .select(
+            "conv_id", "chunk", "n_turns",
+            F.bool_and("fits").over(whole).alias("valid"),
+            (F.col("chunk") == F.max("chunk").over(whole)).alias("is_last"),
+        )
     )
     tail = F.when(
-        F.lit(generation_prompt) & (F.col("chunk") == F.col("last_chunk")),
-        TURN_START + "model\n",
+        F.lit(generation_prompt) & F.col("is_last"), TURN_START + "model\n"
     ).otherwise("")
-    return flags.join(verdicts, "conv_id").select(
+    return texts.join(checked, ["conv_id", "chunk"]).select(
         "conv_id", "chunk", "n_turns", "valid",
         F.concat("rendered", tail).alias("rendered"),
     )

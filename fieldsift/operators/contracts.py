@@ -31,7 +31,7 @@ def note_contract(
 ) -> DataFrame:
     """Add ``n_chars``, ``within_length``, ``blank`` and ``status``."""
     text = F.col(note)
-    n_chars = F.char_length(text)
+    n_chars = F.char_length(text).cast("bigint")
     return df.withColumns(
         {
             "n_chars": n_chars,

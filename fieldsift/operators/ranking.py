@@ -50,6 +50,11 @@ def stratum_ranges(keys: DataFrame) -> DataFrame:
     return _ranges(keys, "stratum")
 
 
+def _hold(located: DataFrame) -> DataFrame:
+    """Compute a table of one row per wanted rank now, and keep it as a literal."""
+    return located.sparkSession.createDataFrame(located.collect(), located.schema)
+
+
 def _rows_in(keys: DataFrame, located: DataFrame) -> DataFrame:
     """Rows inside the located ranges, with the range they fall in.
 
@@ -105,26 +110,20 @@ def keys_at_ranks(
     has (stratum, slot, rank), ranks from 1, a handful of slots per stratum;
     ranks beyond a stratum's size give no row.
     """
-    located = stage(
-        wanted.join(stratum_ranges(keys), "stratum").where("rank <= n"), "located"
+    ranges = wanted.join(stratum_ranges(keys), "stratum").where("rank <= n")
+    located = _hold(ranges.select("stratum", "slot", "rank", "n", *BOUNDS))
+    # One number tells whether any slice is still too large to sort.
+    too_large = (F.col("n") > sort_limit) & (
+        (F.col("v_lo") < F.col("v_hi")) | (F.col("id_lo") < F.col("id_hi"))
     )
-    while True:
-        # One number tells whether any slice is still too large to sort.
-        largest = located.where(
-            "v_lo < v_hi OR id_lo < id_hi"
-        ).agg(F.max("n")).first()[0]
-        if largest is None or largest <= sort_limit:
-            break
-        located = stage(_refine(keys, located), "located")
+    while located.where(too_large).limit(1).count():
+        located = _hold(_refine(keys, located))
     in_range = Window.partitionBy("stratum", *BOUNDS).orderBy("value", "note_id")
     ranked = _rows_in(keys, located).withColumn("rank", F.row_number().over(in_range))
-    return stage(
-        ranked.join(
-            F.broadcast(located.select("stratum", *BOUNDS, "slot", "rank")),
-            ["stratum", *BOUNDS, "rank"],
-        ).select("stratum", "slot", "value", "note_id"),
-        "rank-cuts",
-    )
+    return ranked.join(
+        F.broadcast(located.select("stratum", *BOUNDS, "slot", "rank")),
+        ["stratum", *BOUNDS, "rank"],
+    ).select("stratum", "slot", "value", "note_id")
 
 
 def slots_at_or_above(
