@@ -17,12 +17,12 @@ from ..fixed_values import (
     SPACED_CONFIDENCE,
     SUBSTRING_CONFIDENCE,
 )
-from .text import SPACE_CHARS, SPACE_CLASS, bind, py_strip
+from .text import SPACE_CHARS, SPACE_CLASS, bind, lookup_table, py_strip
 
 
 def lookup(key: Column, values: dict[str, str]) -> Column:
     """``values[key]``, NULL where missing."""
-    return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])[key]
+    return lookup_table(values)[key]
 
 
 def raw_label_key(label: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import string
 import sys
 import unicodedata
 from functools import lru_cache
@@ -13,11 +14,20 @@ from pyspark.sql import functions as F
 from ..fixed_values import ABBREVIATIONS, REDACTED, SECRET_PATTERNS
 
 # Whitespace here means what Unicode and the ASCII separators \x1c-\x1f call
-# whitespace. Java's \s knows ASCII only, so the class is spelled out.
-SPACE_CLASS = (
-    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-)
+# whitespace. Java's \s knows ASCII only, so the classes are spelled out. Java
+# tests single characters below U+0100 by one table lookup but walks through
+# all other members of a class, so text of ASCII alone takes a shorter class.
+ASCII_SPACES = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20"
+LATIN_SPACES = ASCII_SPACES + r"\x85\xa0"
+WIDE_SPACES = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CLASS = LATIN_SPACES + WIDE_SPACES
 SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+KEPT_CHARS = string.ascii_letters + string.digits + ".,!?'"
+
+
+def lookup_table(values: dict[str, str]) -> Column:
+    """A literal map; one call, however many entries."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
 
 
 def bind(value: Column, body) -> Column:
@@ -35,28 +45,36 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | (py_strip(text) == "")
 
 
-def clean_whitespace(text: Column) -> Column:
-    """Whitespace runs become one space; none is left at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
+def is_ascii(text: Column) -> Column:
+    """True if every character takes one byte."""
+    return F.octet_length(text) == F.char_length(text)
 
 
-def clean_punctuation(text: Column) -> Column:
-    """Collapse repeated ``! ? . ,`` and delete all other special characters."""
+def _by_script(text: Column, clean) -> Column:
+    """``clean(ascii_only)`` for the kind of characters in ``text``."""
+    return F.when(is_ascii(text), clean(True)).otherwise(clean(False))
+
+
+def _single_spaced(text: Column, ascii_only: bool) -> Column:
+    spaces = ASCII_SPACES if ascii_only else SPACE_CLASS
+    return F.trim(F.regexp_replace(text, f"[{spaces}]+", " "))
+
+
+def _plain_marks(text: Column, ascii_only: bool) -> Column:
     collapsed = F.regexp_replace(text, r"([!?.,])\1+", "$1")
-    return F.regexp_replace(collapsed, f"[^a-zA-Z0-9{SPACE_CLASS}.,!?']+", "")
+    special = f"[^{KEPT_CHARS}{LATIN_SPACES}]+"
+    if not ascii_only:
+        special = (
+            rf"[^{KEPT_CHARS}{LATIN_SPACES}\u0100-\x{{10ffff}}]+"
+            rf"|[\u0100-\x{{10ffff}}&&[^{WIDE_SPACES}]]+"
+        )
+    return F.regexp_replace(collapsed, special, "")
 
 
-def expand_abbreviations(
-    text: Column, abbreviations: dict[str, str] = ABBREVIATIONS
+def _expanded(
+    text: Column, ascii_only: bool, abbreviations: dict[str, str]
 ) -> Column:
-    """Replace each shorthand word by its full form.
-
-    A word is looked up by its lower-cased letters alone; a hit replaces the
-    whole word, digits and punctuation included.
-    """
-    if not abbreviations:
-        return clean_whitespace(text)
-    full = F.create_map(*[F.lit(v) for pair in abbreviations.items() for v in pair])
+    full = lookup_table(abbreviations)
 
     def joined(norm: Column) -> Column:
         # Deleting the non-letters keeps every space, so both splits line up.
@@ -72,20 +90,50 @@ def expand_abbreviations(
             " ",
         )
 
-    return bind(clean_whitespace(text), joined)
+    return bind(_single_spaced(text, ascii_only), joined)
+
+
+def clean_whitespace(text: Column) -> Column:
+    """Whitespace runs become one space; none is left at the ends."""
+    return _by_script(text, lambda ascii_only: _single_spaced(text, ascii_only))
+
+
+def clean_punctuation(text: Column) -> Column:
+    """Collapse repeated ``! ? . ,`` and delete all other special characters."""
+    return _by_script(text, lambda ascii_only: _plain_marks(text, ascii_only))
+
+
+def expand_abbreviations(
+    text: Column, abbreviations: dict[str, str] = ABBREVIATIONS
+) -> Column:
+    """Replace each shorthand word by its full form.
+
+    A word is looked up by its lower-cased letters alone; a hit replaces the
+    whole word, digits and punctuation included.
+    """
+    if not abbreviations:
+        return clean_whitespace(text)
+    return _by_script(
+        text, lambda ascii_only: _expanded(text, ascii_only, abbreviations)
+    )
 
 
 def clean_note(
     text: Column, abbreviations: dict[str, str] = ABBREVIATIONS
 ) -> Column:
     """Full cleaning; NULL where the note is blank."""
-    expanded = expand_abbreviations(
-        clean_punctuation(F.lower(text)), abbreviations
-    )
-    # Joined words are single-spaced already unless a replacement is not.
-    if any(v != " ".join(v.split()) or not v for v in abbreviations.values()):
-        expanded = clean_whitespace(expanded)
-    return F.when(~is_blank(text), expanded)
+
+    def cleaned(ascii_only: bool) -> Column:
+        plain = _plain_marks(F.lower(text), ascii_only)
+        if not abbreviations:
+            return _single_spaced(plain, ascii_only)
+        expanded = _expanded(plain, ascii_only, abbreviations)
+        # Joined words are single-spaced already unless a replacement is not.
+        if all(v and v == " ".join(v.split()) for v in abbreviations.values()):
+            return expanded
+        return _single_spaced(expanded, False)
+
+    return F.when(~is_blank(text), _by_script(text, cleaned))
 
 
 def redact_secrets(
@@ -102,11 +150,6 @@ def redact_secrets(
     return text
 
 
-def is_ascii(text: Column) -> Column:
-    """True if every character takes one byte."""
-    return F.octet_length(text) == F.char_length(text)
-
-
 @lru_cache(maxsize=1)
 def _accent_tables() -> tuple[str, str, dict[str, str]]:
     """(characters, their replacements, multi-character replacements).
@@ -156,8 +199,7 @@ def _hangul_letters(syllable: Column) -> Column:
 def strip_accents(text: Column) -> Column:
     """Plain base characters: decomposed for compatibility, marks removed."""
     source, target, longer = _accent_tables()
-    # One literal instead of a call per entry.
-    expansions = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
+    expansions = lookup_table(longer)
     hangul = "".join(map(chr, range(0xAC00, 0xD7A4)))
 
     def expand(char: Column) -> Column:

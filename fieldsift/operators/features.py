@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
@@ -124,6 +125,12 @@ class TfidfModel:
         rows = table.orderBy("term_id").limit(LARGEST_VOCABULARY).collect()
         return cls([r["term"] for r in rows], [r["idf"] for r in rows])
 
+    @cached_property
+    def _counter(self) -> CountVectorizerModel:
+        return CountVectorizerModel.from_vocabulary(
+            self.terms, inputCol="_grams", outputCol="_counts"
+        )
+
     def to_table(self, spark) -> DataFrame:
         rows = list(zip(range(len(self.terms)), self.terms, self.idf))
         return spark.createDataFrame(rows, "term_id int, term string, idf double")
@@ -140,13 +147,10 @@ class TfidfModel:
                     "weights": F.array().cast("array<double>"),
                 }
             )
-        counter = CountVectorizerModel.from_vocabulary(
-            self.terms, inputCol="_grams", outputCol="_counts"
-        )
         # One literal instead of a call per entry.
         idf = F.from_json(F.lit(json.dumps(self.idf)), "array<double>")
         counted = (
-            counter.transform(df.withColumn("_grams", ngrams(F.col(text))))
+            self._counter.transform(df.withColumn("_grams", ngrams(F.col(text))))
             .withColumn("_sparse", F.unwrap_udt("_counts"))
             .withColumn(
                 "_raw",
@@ -156,17 +160,13 @@ class TfidfModel:
                     lambda i, tf: (F.log(tf) + 1.0) * F.get(idf, i),
                 ),
             )
-            .withColumn(
-                "_norm",
-                F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, w: acc + w * w)),
-            )
         )
+        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, w: acc + w * w))
+        # Bound first, so the norm is not computed again for every weight.
+        weights = bind(norm, lambda n: F.transform("_raw", lambda w: w / n))
         return counted.withColumns(
-            {
-                "term_ids": F.col("_sparse.indices"),
-                "weights": F.transform("_raw", lambda w: w / F.col("_norm")),
-            }
-        ).drop("_grams", "_counts", "_sparse", "_raw", "_norm")
+            {"term_ids": F.col("_sparse.indices"), "weights": weights}
+        ).drop("_grams", "_counts", "_sparse", "_raw")
 
     def vector(self) -> Column:
         """The arrays of :meth:`transform` as a sparse ML vector."""

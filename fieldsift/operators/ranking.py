@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..session import stage
 
 # Rows of one slice that one task may sort; they are three longs wide.
@@ -50,9 +51,17 @@ def stratum_ranges(keys: DataFrame) -> DataFrame:
     return _ranges(keys, "stratum")
 
 
-def _hold(located: DataFrame) -> DataFrame:
-    """Compute a table of one row per wanted rank now, and keep it as a literal."""
-    return located.sparkSession.createDataFrame(located.collect(), located.schema)
+def _hold(located: DataFrame) -> tuple[DataFrame, int]:
+    """Compute a table of one row per wanted rank now and keep it as a literal.
+
+    Also gives the size of the largest range that can still be cut.
+    """
+    rows = located.collect()
+    largest = max(
+        (r["n"] for r in rows if r["v_lo"] < r["v_hi"] or r["id_lo"] < r["id_hi"]),
+        default=0,
+    )
+    return located.sparkSession.createDataFrame(rows, located.schema), largest
 
 
 def _rows_in(keys: DataFrame, located: DataFrame) -> DataFrame:
@@ -111,13 +120,9 @@ def keys_at_ranks(
     ranks beyond a stratum's size give no row.
     """
     ranges = wanted.join(stratum_ranges(keys), "stratum").where("rank <= n")
-    located = _hold(ranges.select("stratum", "slot", "rank", "n", *BOUNDS))
-    # One number tells whether any slice is still too large to sort.
-    too_large = (F.col("n") > sort_limit) & (
-        (F.col("v_lo") < F.col("v_hi")) | (F.col("id_lo") < F.col("id_hi"))
-    )
-    while located.where(too_large).limit(1).count():
-        located = _hold(_refine(keys, located))
+    located, largest = _hold(ranges.select("stratum", "slot", "rank", "n", *BOUNDS))
+    while largest > sort_limit:
+        located, largest = _hold(_refine(keys, located))
     in_range = Window.partitionBy("stratum", *BOUNDS).orderBy("value", "note_id")
     ranked = _rows_in(keys, located).withColumn("rank", F.row_number().over(in_range))
     return ranked.join(
@@ -138,14 +143,10 @@ def slots_at_or_above(
         F.collect_list(F.struct("value", "note_id")).alias("_cuts")
     )
     key = F.struct(value.cast("bigint").alias("value"), F.col("note_id"))
+    # Bound first, so the key is not computed again for every cut.
+    below = bind(key, lambda k: F.size(F.filter("_cuts", lambda cut: cut < k)))
     return (
         df.join(F.broadcast(per_stratum), stratum, "left")
-        .withColumn("_key", key)
-        .withColumn(
-            "slot",
-            F.coalesce(
-                F.size(F.filter("_cuts", lambda cut: cut < F.col("_key"))), F.lit(0)
-            ),
-        )
-        .drop("_cuts", "_key")
+        .withColumn("slot", F.coalesce(below, F.lit(0)))
+        .drop("_cuts")
     )

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.labels import parse_category
 from ..operators.history import category_counts
 from ..plans.predict import predict_notes
+from ..session import spread
 from ..sources.prediction_log import log_rows, save_predictions
 
 
@@ -28,7 +29,7 @@ def classify_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = log_rows(predict_notes(batch, scorer))
+        rows = log_rows(predict_notes(spread(batch, "note_id"), scorer))
         save_predictions(rows, csv_path, jsonl_path, f"stream-{batch_id:012d}")
 
     return (
