@@ -77,7 +77,8 @@ def _read(spark: SparkSession, path: str, file_format: str) -> DataFrame:
         .option("timestampNTZFormat", _ISO)
     )
     if file_format == "csv":
-        reader = reader.options(**CSV_OPTIONS)
+        # Stands for a cell left empty, so that quoted empty text stays text.
+        reader = reader.options(**CSV_OPTIONS).option("nullValue", "\0")
     try:
         return reader.format(file_format).load(path)
     except AnalysisException as error:
