@@ -17,7 +17,15 @@ from ..fixed_values import (
     SPACED_CONFIDENCE,
     SUBSTRING_CONFIDENCE,
 )
-from .text import SPACE_CHARS, SPACE_CLASS, bind, lookup_table, py_strip
+from .text import (
+    ASCII_SPACES,
+    SPACE_CHARS,
+    SPACE_CLASS,
+    bind,
+    is_ascii,
+    lookup_table,
+    py_strip,
+)
 
 
 def lookup(key: Column, values: dict[str, str]) -> Column:
@@ -51,12 +59,19 @@ def clean_output(raw: Column, prefixes: list[str] = OUTPUT_PREFIXES) -> Column:
     Each lead-in is tried once, in list order; cutting one also cuts the
     whitespace around what is left.
     """
-    text = F.rtrim(py_strip(F.lower(raw)), F.lit(".!?\n"))
     lead_ins = "".join(rf"(?:\Q{p}\E[{SPACE_CLASS}]*)?" for p in prefixes)
-    rest = F.regexp_replace(text, "^" + lead_ins, "")
-    return F.when(
-        F.length(rest) < F.length(text), F.rtrim(rest, F.lit(SPACE_CHARS))
-    ).otherwise(rest)
+
+    def without_lead_ins(text: Column) -> Column:
+        return bind(
+            F.regexp_replace(text, "^" + lead_ins, ""),
+            lambda rest: F.when(
+                F.length(rest) < F.length(text), F.rtrim(rest, F.lit(SPACE_CHARS))
+            ).otherwise(rest),
+        )
+
+    return bind(
+        F.rtrim(py_strip(F.lower(raw)), F.lit(".!?\n")), without_lead_ins
+    )
 
 
 def first_contained(
@@ -74,7 +89,9 @@ def first_contained(
 
 
 def _distinct_words(text: Column, keep: list[str]) -> Column:
-    words = F.split(text, f"[{SPACE_CLASS}]+")
+    words = F.when(is_ascii(text), F.split(text, f"[{ASCII_SPACES}]+")).otherwise(
+        F.split(text, f"[{SPACE_CLASS}]+")
+    )
     return F.array_distinct(F.filter(words, lambda w: w.isin(*keep)))
 
 

@@ -53,13 +53,20 @@ def _label_array(labels: list[str]) -> Column:
 
 def confusion_matrix(df: DataFrame, labels: list[str] = CATEGORIES) -> DataFrame:
     """Dense matrix in long form: (true, predicted, n) for every pair of labels."""
-    counts = outcome_counts(df)
+    known = F.col("true").isin(*labels) & F.col("predicted").isin(*labels)
+    # Tested as an aggregate: a filter on the pair itself would be moved below
+    # the scoring expressions and compute them twice.
+    counts = (
+        df.groupBy("true", "predicted")
+        .agg(F.count("*").alias("n"), F.bool_and(known).alias("known"))
+        .where("known")
+        .drop("known")
+    )
     empty = df.sparkSession.range(1).select(
         F.explode(_label_array(labels)).alias("true")
     ).select("true", F.explode(_label_array(labels)).alias("predicted"))
     return (
-        counts.where(F.col("true").isin(*labels) & F.col("predicted").isin(*labels))
-        .unionByName(empty.withColumn("n", F.lit(0).cast("bigint")))
+        counts.unionByName(empty.withColumn("n", F.lit(0).cast("bigint")))
         .groupBy("true", "predicted")
         .agg(F.sum("n").alias("n"))
     )
