@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +13,36 @@ from ..fixed_values import FALLBACK_METHOD, PRIMARY_METHOD
 from ..functions.labels import parse_category
 from ..functions.prompts import latency_text, reasoning
 
+OUTPUT_SCHEMA = "note_id long, raw_output string, latency_seconds double"
 RESULT = ["issue_category", "confidence", "latency_seconds"]
 
 
+def generate_outputs(
+    prompts: DataFrame, generate: Callable[[list[str]], list[str]]
+) -> DataFrame:
+    """Raw outputs of a model for (note_id, prompt): OUTPUT_SCHEMA.
+
+    ``generate`` answers a list of prompts; it runs in the tasks, on one Arrow
+    batch after the other. A batch that it fails on gets NULL outputs, which
+    leaves its notes to the next method. The latency of a note is its share of
+    the batch's time.
+    """
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            start = time.perf_counter()
+            try:
+                outputs = list(generate(batch["prompt"].tolist()))
+            except Exception:
+                outputs = [None] * len(batch)
+            share = (time.perf_counter() - start) / max(len(batch), 1)
+            yield pd.DataFrame(
+                {"note_id": batch["note_id"], "raw_output": outputs, "latency_seconds": share}
+            )
+
+    return prompts.select("note_id", "prompt").mapInPandas(answer, OUTPUT_SCHEMA)
+
+
 def parsed_results(outputs: DataFrame) -> DataFrame:
     """Results from raw outputs (note_id, raw_output, latency_seconds).
 

@@ -108,9 +108,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame."""
     source, key, select = VIEWS[name]
-    columns = table(spark, sf_dir, source).columns
-    used = [c for c in columns if any(c in expression for expression in select)]
-    return spread(table(spark, sf_dir, source).select(*used), key).selectExpr(*select)
+    rows = table(spark, sf_dir, source)
+    used = [c for c in rows.columns if any(c in expression for expression in select)]
+    return spread(rows.select(*used), key).selectExpr(*select)
 
 
 def view_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

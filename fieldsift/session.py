@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +26,23 @@ def local_session(cores: int | str = "*", app_name: str = "fieldsift") -> SparkS
     )
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="fieldsift-")
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets its own
-    temporary folder, kept for the life of the session.
+    Only a local session may go without the setting; it then gets a temporary
+    folder of its process.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if root:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
-    root = tempfile.mkdtemp(prefix="fieldsift-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    return _local_root()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

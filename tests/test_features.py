@@ -156,3 +156,19 @@ def test_tiers(spark):
         (None, None, False),
     ]
     assert rows[0].latency_text == "0.50" and rows[3].reasoning is None
+
+
+def test_model_hook(spark):
+    def generate(prompts):
+        if any("break" in p for p in prompts):
+            raise RuntimeError
+        return [f"Category: {'demand_spike' if 'rush' in p else 'none'}." for p in prompts]
+
+    prompts = spark.createDataFrame(
+        [(1, "a rush"), (2, "quiet"), (3, "break")], "note_id long, prompt string"
+    ).repartition(3, "note_id")
+    outputs = {r.note_id: r for r in S.generate_outputs(prompts, generate).collect()}
+    assert outputs[1].raw_output == "Category: demand_spike."
+    assert all(r.latency_seconds >= 0 for r in outputs.values())
+    parsed = {r.note_id for r in S.parsed_results(S.generate_outputs(prompts, generate)).collect()}
+    assert 1 in parsed and 3 not in parsed
