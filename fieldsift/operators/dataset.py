@@ -43,14 +43,13 @@ def strict_notes(df: DataFrame, mapping: dict[str, str] = CATEGORY_MAP) -> DataF
     Unlike :func:`valid_notes`, a padded or lower-case label is dropped and a
     blank note is kept.
     """
-    return (
-        df.dropna(subset=["rep_note", "issue_category"])
-        .select(
-            "note_id",
-            py_strip(F.col("rep_note")).alias("input"),
-            lookup(F.col("issue_category"), mapping).alias("output"),
-        )
-        .dropna(subset=["output"])
+    # Both tests are plain enough to be pushed down to the files.
+    return df.where(
+        F.col("rep_note").isNotNull() & F.col("issue_category").isin(*mapping)
+    ).select(
+        "note_id",
+        py_strip(F.col("rep_note")).alias("input"),
+        lookup(F.col("issue_category"), mapping).alias("output"),
     )
 
 
