@@ -89,10 +89,12 @@ def first_contained(
 
 
 def _distinct_words(text: Column, keep: list[str]) -> Column:
-    words = F.when(is_ascii(text), F.split(text, f"[{ASCII_SPACES}]+")).otherwise(
-        F.split(text, f"[{SPACE_CLASS}]+")
-    )
-    return F.array_distinct(F.filter(words, lambda w: w.isin(*keep)))
+    def words(t: Column) -> Column:
+        return F.when(is_ascii(t), F.split(t, f"[{ASCII_SPACES}]+")).otherwise(
+            F.split(t, f"[{SPACE_CLASS}]+")
+        )
+
+    return F.array_distinct(F.filter(bind(text, words), lambda w: w.isin(*keep)))
 
 
 def keyword_scores(

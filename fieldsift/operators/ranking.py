@@ -36,6 +36,15 @@ def rank_keys(df: DataFrame, stratum: str, value: Column) -> DataFrame:
     return stage(keys, "rank-keys")
 
 
+def hold(table: DataFrame) -> DataFrame:
+    """Compute a table now and keep it as a literal.
+
+    Only for tables of one row per stratum or per wanted rank: later uses then
+    do not go through the keys again.
+    """
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
 def _ranges(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"),
@@ -48,20 +57,13 @@ def _ranges(rows: DataFrame, *by: str) -> DataFrame:
 
 def stratum_ranges(keys: DataFrame) -> DataFrame:
     """Row count and key range per stratum: (stratum, n, v_lo, v_hi, id_lo, id_hi)."""
-    return _ranges(keys, "stratum")
+    return hold(_ranges(keys, "stratum"))
 
 
-def _hold(located: DataFrame) -> tuple[DataFrame, int]:
-    """Compute a table of one row per wanted rank now and keep it as a literal.
-
-    Also gives the size of the largest range that can still be cut.
-    """
-    rows = located.collect()
-    largest = max(
-        (r["n"] for r in rows if r["v_lo"] < r["v_hi"] or r["id_lo"] < r["id_hi"]),
-        default=0,
-    )
-    return located.sparkSession.createDataFrame(rows, located.schema), largest
+def _largest_range(located: DataFrame) -> int:
+    """Rows of the largest range that can still be cut."""
+    can_be_cut = (F.col("v_lo") < F.col("v_hi")) | (F.col("id_lo") < F.col("id_hi"))
+    return located.where(can_be_cut).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
 def _rows_in(keys: DataFrame, located: DataFrame) -> DataFrame:
@@ -111,24 +113,32 @@ def _refine(keys: DataFrame, located: DataFrame) -> DataFrame:
 
 
 def keys_at_ranks(
-    keys: DataFrame, wanted: DataFrame, sort_limit: int = SORT_LIMIT
+    keys: DataFrame,
+    ranges: DataFrame,
+    wanted: DataFrame,
+    sort_limit: int = SORT_LIMIT,
 ) -> DataFrame:
     """The keys at the wanted ranks: (stratum, slot, value, note_id).
 
-    ``keys`` comes from :func:`rank_keys`; note ids must be unique. ``wanted``
+    ``ranges`` are the :func:`stratum_ranges` of ``keys``, and ``keys`` comes from :func:`rank_keys`; note ids must be unique. ``wanted``
     has (stratum, slot, rank), ranks from 1, a handful of slots per stratum;
     ranks beyond a stratum's size give no row.
     """
-    ranges = wanted.join(stratum_ranges(keys), "stratum").where("rank <= n")
-    located, largest = _hold(ranges.select("stratum", "slot", "rank", "n", *BOUNDS))
-    while largest > sort_limit:
-        located, largest = _hold(_refine(keys, located))
+    located = hold(
+        wanted.join(ranges.select("stratum", "n", *BOUNDS), "stratum")
+        .where("rank <= n")
+        .select("stratum", "slot", "rank", "n", *BOUNDS)
+    )
+    while _largest_range(located) > sort_limit:
+        located = hold(_refine(keys, located))
     in_range = Window.partitionBy("stratum", *BOUNDS).orderBy("value", "note_id")
     ranked = _rows_in(keys, located).withColumn("rank", F.row_number().over(in_range))
-    return ranked.join(
-        F.broadcast(located.select("stratum", *BOUNDS, "slot", "rank")),
-        ["stratum", *BOUNDS, "rank"],
-    ).select("stratum", "slot", "value", "note_id")
+    return hold(
+        ranked.join(
+            F.broadcast(located.select("stratum", *BOUNDS, "slot", "rank")),
+            ["stratum", *BOUNDS, "rank"],
+        ).select("stratum", "slot", "value", "note_id")
+    )
 
 
 def slots_at_or_above(

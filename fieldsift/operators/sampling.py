@@ -59,12 +59,13 @@ def stratified_split(
         raise ValueError(f"test_size must be between 0 and 1, got {test_size}")
     value = seeded_value(seed, F.col("note_id"))
     keys = rank_keys(df, stratum, value)
+    ranges = stratum_ranges(keys)
     wanted = (
-        test_quotas(stratum_ranges(keys).select("stratum", "n"), test_size)
+        test_quotas(ranges.select("stratum", "n"), test_size)
         .where("quota > 0")
         .select("stratum", F.lit(0).alias("slot"), F.col("quota").alias("rank"))
     )
-    last = keys_at_ranks(keys, wanted, sort_limit).select(
+    last = keys_at_ranks(keys, ranges, wanted, sort_limit).select(
         F.col("stratum").alias(stratum),
         F.struct("value", "note_id").alias("_last"),
     )
@@ -98,7 +99,8 @@ def stratified_folds(
     keys = rank_keys(df, stratum, value)
     earlier = Window.orderBy("id_lo").rowsBetween(Window.unboundedPreceding, -1)
     # One row per stratum reaches this unpartitioned window.
-    sizes = stratum_ranges(keys).withColumn(
+    ranges = stratum_ranges(keys)
+    sizes = ranges.withColumn(
         "start", F.coalesce(F.sum("n").over(earlier), F.lit(0))
     )
 
@@ -134,16 +136,22 @@ def stratified_folds(
         )["skipped"].alias("_skipped"),
     )
     return (
-        slots_at_or_above(df, keys_at_ranks(keys, cuts, sort_limit), stratum, value)
+        slots_at_or_above(
+            df, keys_at_ranks(keys, ranges, cuts, sort_limit), stratum, value
+        )
         .join(F.broadcast(empty), stratum, "left")
         .withColumn("fold", (F.col("slot") + F.coalesce("_skipped", F.lit(0))).cast("int"))
         .drop("slot", "_skipped")
     )
 
 
-def _length_keys(df: DataFrame, stratum: str) -> tuple[DataFrame, DataFrame]:
+def _length_keys(
+    df: DataFrame, stratum: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys by note length, their ranges and the rows per stratum."""
     keys = rank_keys(df, stratum, F.char_length("input"))
-    return keys, stratum_ranges(keys).select("stratum", "n")
+    ranges = stratum_ranges(keys)
+    return keys, ranges, ranges.select("stratum", "n")
 
 
 def _every_row(sizes: DataFrame, per_category: int) -> DataFrame:
@@ -187,14 +195,14 @@ def fewshot_by_bucket(
     Notes left over after the last full run are not eligible; a stratum with no
     more than ``per_category`` notes is taken whole.
     """
-    keys, sizes = _length_keys(df, stratum)
+    keys, ranges, sizes = _length_keys(df, stratum)
     run = F.floor(F.col("n") / per_category)
     ends = sizes.where(F.col("n") > per_category).select(
         "stratum",
         run.alias("run"),
         F.explode(F.sequence(F.lit(1), F.lit(per_category))).alias("slot"),
     ).select("stratum", "slot", (F.col("slot") * F.col("run")).alias("rank"))
-    cuts = keys_at_ranks(keys, ends, sort_limit)
+    cuts = keys_at_ranks(keys, ranges, ends, sort_limit)
     runs = slots_at_or_above(keys, cuts, "stratum", F.col("value"))
     picked = (
         runs.join(F.broadcast(sizes.where(F.col("n") > per_category)), "stratum")
@@ -224,7 +232,7 @@ def fewshot_by_stride(
 
     A stratum with no more than ``per_category`` notes is taken whole.
     """
-    keys, sizes = _length_keys(df, stratum)
+    keys, ranges, sizes = _length_keys(df, stratum)
     step = F.floor(F.col("n") / per_category)
     spaced = sizes.where(F.col("n") > per_category).select(
         "stratum",
@@ -232,5 +240,7 @@ def fewshot_by_stride(
         F.explode(F.sequence(F.lit(0), F.lit(per_category - 1))).alias("slot"),
     ).select("stratum", "slot", (F.col("slot") * F.col("step") + 1).alias("rank"))
     wanted = spaced.unionByName(_every_row(sizes, per_category))
-    picked = keys_at_ranks(keys, wanted, sort_limit).select("stratum", "slot", "note_id")
+    picked = keys_at_ranks(keys, ranges, wanted, sort_limit).select(
+        "stratum", "slot", "note_id"
+    )
     return _examples(df, picked, sizes, stratum, per_category)

@@ -50,7 +50,7 @@ def test_ranks_equal_a_full_sort(notes, by_class, spark, sort_limit):
     table = spark.createDataFrame(wanted, "stratum string, slot int, rank long")
     found = {
         (r.stratum, r.slot): (r.value, r.note_id)
-        for r in R.keys_at_ranks(keys, table, sort_limit).collect()
+        for r in R.keys_at_ranks(keys, R.stratum_ranges(keys), table, sort_limit).collect()
     }
     for c, slot, rank in wanted:
         ordered = sorted((len(r.input), r.note_id) for r in by_class[c])
