@@ -21,7 +21,7 @@ from fieldsift.session import local_session
 # query -> timed runs
 HEADLINE = {
     "clean_note": 3,
-    "clean_documents": 3,
+    "clean_documents": 1,
     "redact_secrets": 3,
     "parse_category": 3,
     "extract_category": 3,
@@ -41,12 +41,12 @@ HEADLINE = {
     "tiered_scoring": 3,
     "chat_render": 3,
     "ngrams": 3,
-    "tfidf_vocab": 3,
-    "tfidf": 3,
-    "log_write_read": 3,
+    "tfidf_vocab": 1,
+    "tfidf": 1,
+    "log_write_read": 1,
     "log_category_counts": 3,
     "recent_history": 3,
-    "stream_predict": 3,
+    "stream_predict": 1,
     "rf_train_score": 1,
 }
 # Rates: query -> the notes it goes through.
