@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldsift.llm.bpe import round_trip
 from fieldsift.llm.exact_dedup import exact_dedup
 from fieldsift.llm.mixing import mix_report
 from fieldsift.llm.shared import table
@@ -26,10 +27,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op8_simhash": op8_simhash,
+    "op10_bpe": op10_bpe,
 }
 
 _OP3 = r"""
