@@ -12,6 +12,8 @@ from fieldsift.llm.exact_dedup import exact_dedup
 from fieldsift.llm.mixing import mix_report
 from fieldsift.llm.shared import table
 from fieldsift.llm.simhash import near_groups
+from fieldsift.llm.token_file import read_tokens, write_tokens
+from fieldsift.llm.warc import archive
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(*write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -34,6 +44,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op6_warc": op6_warc,
+    "op7_token_file": op7_token_file,
     "op8_simhash": op8_simhash,
     "op10_bpe": op10_bpe,
 }
@@ -88,4 +100,15 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": _OP3, "op4_mixing": _OP4}
+_OP6 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+l AS (SELECT payload_digest, payload_bytes, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN l USING (payload_digest, payload_bytes)
+"""
+
+ORACLES: dict[str, str] = {"op3_exact_dedup": _OP3, "op4_mixing": _OP4, "op6_warc": _OP6}

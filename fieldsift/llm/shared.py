@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsift.session import shared_path, stage
 
-__all__ = ["col", "fresh", "shared_path", "stage", "table", "texts"]
+__all__ = ["col", "files", "fresh", "new_file", "shared_path", "splitmix", "stage", "store", "table"]
 
 # The white space of the contracts: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -34,12 +37,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def texts(column: pa.Array) -> Iterator[str]:
-    """Values of a string column, null as empty."""
-    for value in column.to_pylist():
-        yield value or ""
-
-
 def splitmix(n: int) -> np.uint64:
     """The n-th of a fixed sequence of 64-bit mixing constants."""
     mask = (1 << 64) - 1
@@ -47,3 +44,31 @@ def splitmix(n: int) -> np.uint64:
     z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & mask
     z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
     return np.uint64(z ^ (z >> 31))
+
+
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder or file below the shared folder."""
+    local = uri.removeprefix("file:")
+    if local.startswith("/"):
+        return pafs.LocalFileSystem(), "/" + local.lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
+@contextmanager
+def new_file(uri: str) -> Iterator[pa.NativeFile]:
+    """A file that appears under its name only when it is complete.
+
+    A task that is run twice writes the same file twice; the last one stays.
+    """
+    fs, path = store(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part, compression=None) as file:
+        yield file
+    fs.move(part, path)
+
+
+def files(written: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The staged list of files that tasks have written, and their number."""
+    listed = stage(written, name)
+    return listed, listed.count()
