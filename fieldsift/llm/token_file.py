@@ -31,7 +31,7 @@ from fieldsift.llm.shared import col, files, new_file, shared_path, stage, store
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
-HEADER = struct.Struct("<4sIQQ")
+HEADER = "<4sIQQ"
 MAGIC = b"TOK1"
 # A block is closed when it holds this many ids.
 BLOCK = 1 << 18
@@ -169,7 +169,7 @@ def write_tokens(
         control, data = pack(rank_of[np.concatenate(parts)])
         return b"".join(
             (
-                HEADER.pack(MAGIC, len(parts), int(sizes.sum()), len(data)),
+                struct.pack(HEADER, MAGIC, len(parts), int(sizes.sum()), len(data)),
                 np.array([i or 0 for i in ids], "<i8").tobytes(),
                 bytes(i is None for i in ids),
                 sizes.tobytes(),
@@ -217,8 +217,8 @@ def read_blocks(uri: str) -> Iterator[tuple[list[int | None], np.ndarray, np.nda
                 raise ValueError(f"{uri} is cut off")
             return data
 
-        while head := file.read(HEADER.size):
-            magic, docs, n, size = HEADER.unpack(head)
+        while head := file.read(struct.calcsize(HEADER)):
+            magic, docs, n, size = struct.unpack(HEADER, head)
             if magic != MAGIC:
                 raise ValueError(f"{uri} is not a token file")
             own = np.frombuffer(take(8 * docs), "<i8").tolist()
