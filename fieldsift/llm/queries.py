@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from fieldsift.llm.bpe import round_trip
 from fieldsift.llm.exact_dedup import exact_dedup
 from fieldsift.llm.mixing import mix_report
+from fieldsift.llm.secret_scan import find_secrets
 from fieldsift.llm.shared import table
 from fieldsift.llm.simhash import near_groups
 from fieldsift.llm.token_file import read_tokens, write_tokens
+from fieldsift.llm.toxicity import score_toxicity
 from fieldsift.llm.warc import archive
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "found.*")
@@ -25,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
 
@@ -42,8 +52,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_token_file": op7_token_file,
     "op8_simhash": op8_simhash,
