@@ -4,12 +4,12 @@ Five transducers read a clause word by word: insults (weighted stems), threats,
 targets, negations and reported speech. Composed, they give a clause a weight:
 an insult counts by the weight of its stem, less after a negation, more with a
 target; a threat counts if a target follows; all counts less in reported
-speech. A document's matched clauses are summed up in three numbers, and a
+speech. A document's matched clauses are summed up in four numbers, and a
 logistic curve gives the score.
 
 The insult stems are beginnings of words, and whole words, that training labels
-show to mark toxic documents. The fit uses at most SAMPLE labelled rows, half
-for the stems and half for the curve. The other lists are short and fixed.
+show to mark toxic documents. The fit uses at most SAMPLE labelled rows,
+three quarters for the stems and the rest for the curve. The other lists are short and fixed.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ SAMPLE = 20_000
 STEMS = range(3, 9)
 LONGEST = 32
 # A stem must be this much likelier in toxic documents, beyond this likelihood ratio.
-LIFT, RATIO = 10.0, 30.0
+LIFT, RATIO = 4.0, 30.0
 
 # Words of the small transducers.
 THREATS = frozenset("kill hurt destroy beat burn shoot stab smash crush hang drown punch attack hunt".split())
@@ -57,10 +57,10 @@ def _stems(words: set[str]) -> set[str]:
 
 @dataclass
 class Grammar:
-    """Weights of insult stems, and the curve over the three clause sums."""
+    """Weights of insult stems, and the curve over the four clause sums."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    curve: tuple[float, ...] = (-30.0, 0.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (-30.0, 0.0, 0.0, 0.0, 0.0)
 
     def finder(self) -> ahocorasick.Automaton | None:
         """All stems and threats, to pass over documents without any."""
@@ -100,17 +100,19 @@ class Grammar:
                 reported = True
         return total * (AIMED if target else 1.0) * (REPORTED if reported else 1.0)
 
-    def features(self, text: str, finder: ahocorasick.Automaton | None) -> tuple[float, float, float]:
-        """Log of the clause sum, largest clause, log of the number of matched clauses."""
+    def features(self, text: str, finder: ahocorasick.Automaton | None) -> tuple[float, ...]:
+        """Log of the clause sum, largest clause, logs of matched clauses and of the sum by words."""
         lowered = text.lower()
         if finder is None or not any(
             end < size or not lowered[end - size].isalpha() for end, size in finder.iter(lowered)
         ):
-            return 0.0, 0.0, 0.0
-        found = [w for w in (self.clause(_word(c)) for c in _clauses(lowered)) if w > 0]
-        return math.log1p(sum(found)), max(found, default=0.0), math.log1p(len(found))
+            return 0.0, 0.0, 0.0, 0.0
+        clauses = [_word(c) for c in _clauses(lowered)]
+        found = [w for w in map(self.clause, clauses) if w > 0]
+        density = 100.0 * sum(found) / max(1, sum(map(len, clauses)))
+        return math.log1p(sum(found)), max(found, default=0.0), math.log1p(len(found)), math.log1p(density)
 
-    def score(self, features: tuple[float, float, float]) -> float:
+    def score(self, features: tuple[float, ...]) -> float:
         z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], features, strict=True))
         return 1.0 / (1.0 + math.exp(-min(max(z, -500.0), 500.0)))
 
@@ -121,7 +123,7 @@ def held_out(row_id: F.Column) -> F.Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Staged (text, toxic, half) of at most SAMPLE labelled rows outside the held-out part."""
+    """Staged (text, toxic, part) of at most SAMPLE labelled rows outside the held-out part."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("toxic").isNotNull() & ~held_out(F.col("label_id")))
@@ -132,8 +134,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     # At most SAMPLE rows of two numbers.
     rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
-    half = F.pmod(F.xxhash64(F.col("label_id"), F.lit("half")), F.lit(2)).cast("int")
-    return stage(rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), half.alias("half")), "toxic_sample")
+    part = (F.pmod(F.xxhash64(F.col("label_id"), F.lit("part")), F.lit(4)) == 0).cast("int")
+    return stage(rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), part.alias("part")), "toxic_sample")
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +200,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     near 1 if every label is toxic.
     """
     sample = _sample(docs, labels)
-    sizes = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {(r["part"], r["toxic"]): r["n"] for r in sample.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     of = lambda y: sizes.get((0, y), 0) + sizes.get((1, y), 0)
     if not of(0) or not of(1):
-        return Grammar(curve=(30.0 if of(1) else -30.0, 0.0, 0.0, 0.0))
-    first = sample.filter("half = 0") if sizes.get((0, 0)) and sizes.get((0, 1)) else sample
+        return Grammar(curve=(30.0 if of(1) else -30.0, 0.0, 0.0, 0.0, 0.0))
+    first = sample.filter("part = 0") if sizes.get((0, 0)) and sizes.get((0, 1)) else sample
     counts = (
         first.select("text", "toxic")
         .mapInArrow(_stem_counts, "stem string, toxic int, kin long")
@@ -226,21 +228,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         .collect()
     )
     grammar = Grammar(_strongest([(r["stem"], r["weight"]) for r in chosen]))
-    second = sample.filter("half = 1") if first is not sample and sizes.get((1, 0)) and sizes.get((1, 1)) else sample
+    second = sample.filter("part = 1") if first is not sample and sizes.get((1, 0)) and sizes.get((1, 1)) else sample
+
+    names = [f"x{i}" for i in range(4)]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = grammar.finder()
         for batch in batches:
             found = [grammar.features(t.as_py() or "", finder) for t in batch.column(0)]
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            columns = list(zip(*found, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.float64()) for c in columns), batch.column(1)], ["x", "y", "z", "toxic"]
+                [*(pa.array(c, pa.float64()) for c in columns), batch.column(1)], [*names, "toxic"]
             )
 
-    rows = second.select("text", "toxic").mapInArrow(measured, "x double, y double, z double, toxic int")
-    data = np.array([tuple(r) for r in rows.groupBy("x", "y", "z", "toxic").count().collect()], float).reshape(-1, 5)
-    x, y = np.repeat(data[:, :3], data[:, 4].astype(int), axis=0), np.repeat(data[:, 3], data[:, 4].astype(int))
-    grammar.curve = _fit_curve(x, y)
+    rows = second.select("text", "toxic").mapInArrow(measured, ", ".join(f"{n} double" for n in names) + ", toxic int")
+    data = np.array([tuple(r) for r in rows.groupBy(*names, "toxic").count().collect()], float).reshape(-1, 6)
+    times = data[:, 5].astype(int)
+    grammar.curve = _fit_curve(np.repeat(data[:, :4], times, axis=0), np.repeat(data[:, 4], times))
     return grammar
 
 
