@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldsift.llm.bpe import round_trip
 from fieldsift.llm.exact_dedup import exact_dedup
 from fieldsift.llm.mixing import mix_report
+from fieldsift.llm.nearest import nearest
 from fieldsift.llm.secret_scan import find_secrets
 from fieldsift.llm.shared import table
 from fieldsift.llm.simhash import near_groups
@@ -18,6 +19,10 @@ from fieldsift.llm.toxicity import score_toxicity
 from fieldsift.llm.warc import archive
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
