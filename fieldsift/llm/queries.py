@@ -11,6 +11,7 @@ from fieldsift.llm.bpe import round_trip
 from fieldsift.llm.exact_dedup import exact_dedup
 from fieldsift.llm.mixing import mix_report
 from fieldsift.llm.nearest import nearest
+from fieldsift.llm.passages import passage_groups
 from fieldsift.llm.secret_scan import find_secrets
 from fieldsift.llm.shared import table
 from fieldsift.llm.simhash import near_groups
@@ -52,6 +53,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_token_file": op7_token_file,
     "op8_simhash": op8_simhash,
+    "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
 }
 
