@@ -15,6 +15,7 @@ table of offsets.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -131,7 +132,7 @@ class Coder:
     def _word(self, word: str) -> tuple[str, bytes, int]:
         """Decimal ids, ids as 32-bit integers, number of ids."""
         ids = self.encode_word(word.encode("utf-8"))
-        return ",".join(map(str, ids)), np.array(ids, "<u4").tobytes(), len(ids)
+        return ",".join(map(str, ids)), array("I", ids).tobytes(), len(ids)
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Parts of the text between special tokens, and those tokens' ids."""
@@ -154,7 +155,7 @@ class Coder:
                 decimal.append(str(special))
                 parts.append(np.array([special], "<u4").tobytes())
             elif part:
-                words = list(map(self.memo.__getitem__, pieces(part)))
+                words = self.memo.all(pieces(part))
                 decimal.append(",".join([w[0] for w in words]))
                 parts.append(b"".join([w[1] for w in words]))
         return ",".join(decimal), np.frombuffer(b"".join(parts), "<u4")

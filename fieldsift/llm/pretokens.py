@@ -19,6 +19,21 @@ ASCII_PATTERN = (
 _split = regex.compile(PATTERN).findall
 _split_ascii = re.compile(ASCII_PATTERN).findall
 
+# The same again for Latin letters and general punctuation, whose classes are the
+# same in all Unicode versions: the classes are spelt out for the simpler engine.
+_LATIN = [*range(0x378), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in _LATIN if unicodedata.category(chr(c))[0] == kind)
+
+
+_L, _N, _S = _class("L"), _class("N"), " \\t-\\r\\x85\\xa0"
+_split_latin = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+).findall
+_not_latin = re.compile("[^\0-\u0377\u2010-\u2027\u2030-\u205e]").search
+
 
 def _unassigned() -> Iterator[str]:
     """Ranges of code points without a meaning in Python's Unicode tables."""
@@ -41,6 +56,8 @@ def pieces(text: str) -> list[str]:
     """The words whose merges are independent of each other; joined, the text."""
     if text.isascii():
         return _split_ascii(text)
+    if not _not_latin(text):
+        return _split_latin(text)
     if _new_letter(text):
         return [text[a:b] for _, (a, b) in _library(text)]
     return _split(text)
@@ -72,6 +89,24 @@ class Memo(dict):
         self.keep(word, found)
         return found
 
+    def all(self, words: list[str]) -> list:
+        """Results for the words; those that are new are made together, see ``fill``."""
+        found = list(map(self.get, words))
+        if None in found:
+            places = [i for i, v in enumerate(found) if v is None]
+            new = dict.fromkeys([words[i] for i in places])
+            made = {w: self.old[w] for w in new if w in self.old}
+            rest = [w for w in new if w not in made]
+            made.update(zip(rest, self.fill(rest), strict=True))
+            for i in places:
+                found[i] = made[words[i]]
+            for word, value in made.items():
+                self.keep(word, value)
+        return found
+
+    def fill(self, words: list[str]) -> list:
+        return list(map(self.make, words))
+
     def keep(self, word: str, found: object) -> None:
         if len(self) >= self.LIMIT:
             self.old = dict(self)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,22 +59,17 @@ class LibraryEncoder:
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.size = self.library.get_vocab_size()
         self.memo = Memo(lambda word: self._ids([word])[0])
+        self.memo.fill = self._ids
 
     def _ids(self, words: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if any(s in text for s in self.special):
             return self._ids([text])[0]
-        memo = self.memo
-        words = pieces(text)
-        new = [w for w in dict.fromkeys(w for w in words if w not in memo) if w not in memo.old]
-        if new:
-            for word, ids in zip(new, self._ids(new), strict=True):
-                memo.keep(word, ids)
-        return b"".join(map(memo.__getitem__, words))
+        return b"".join(self.memo.all(pieces(text)))
 
 
 @lru_cache(maxsize=1)
