@@ -67,10 +67,6 @@ FALLBACK_CONFIDENCE = 0.30
 # --- Fixed values: scoring methods --------------------------------------------
 PRIMARY_METHOD = "qlora_direct"
 FALLBACK_METHOD = "sklearn_tfidf"
-METHODS = [
-    "ollama_prompt_model", "ollama_base", "ollama_finetuned",
-    FALLBACK_METHOD, PRIMARY_METHOD,
-]
 
 # --- Fixed values: limits and training defaults -------------------------------
 MIN_NOTE_LENGTH = 1

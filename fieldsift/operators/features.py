@@ -122,7 +122,9 @@ class TfidfModel:
     @classmethod
     def from_table(cls, table: DataFrame) -> "TfidfModel":
         """Take over a vocabulary table; its size is limited by its maker."""
-        rows = table.orderBy("term_id").limit(LARGEST_VOCABULARY).collect()
+        rows = table.orderBy("term_id").limit(LARGEST_VOCABULARY + 1).collect()
+        if len(rows) > LARGEST_VOCABULARY:
+            raise ValueError(f"a vocabulary has at most {LARGEST_VOCABULARY} terms")
         return cls([r["term"] for r in rows], [r["idf"] for r in rows])
 
     @cached_property

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import CATEGORIES, LEAKAGE_F1, NOTE_PREVIEW
+from ..fixed_values import LEAKAGE_F1, NOTE_PREVIEW
 from ..functions.numbers import round_half_even
 
 
+# A set of labels is small; more than this is not one.
+MAX_LABELS = 1000
+
+
 def pair_outcomes(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """Join truth and predictions by note: (note_id, true, predicted)."""
     return truth.select("note_id", "true").join(
@@ -47,13 +51,31 @@ def accuracy(df: DataFrame) -> DataFrame:
     )
 
 
-def _label_array(labels: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in sorted(labels)])
+def _label_array(labels: list[str | None]) -> Column:
+    return F.array(*[F.lit(x).cast("string") for x in sorted(labels, key=lambda x: (x is None, x))])
 
 
-def confusion_matrix(df: DataFrame, labels: list[str] = CATEGORIES) -> DataFrame:
-    """Dense matrix in long form: (true, predicted, n) for every pair of labels."""
-    known = F.col("true").isin(*labels) & F.col("predicted").isin(*labels)
+def found_labels(df: DataFrame) -> list[str | None]:
+    """All labels of truth and predictions, NULL included; at most MAX_LABELS."""
+    both = outcome_counts(df).select(F.explode(F.array("true", "predicted")).alias("label"))
+    found = [r["label"] for r in both.distinct().limit(MAX_LABELS + 1).collect()]
+    if len(found) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    return found
+
+
+def confusion_matrix(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Dense matrix in long form: (true, predicted, n) for every pair of labels.
+
+    Without ``labels`` these are all that occur, NULL as one of them. With
+    ``labels``, pairs outside the list are left out; :func:`outside_count` tells
+    how many.
+    """
+    if labels is None:
+        labels = found_labels(df)
+        known = F.lit(True)
+    else:
+        known = F.col("true").isin(*labels) & F.col("predicted").isin(*labels)
     # Tested as an aggregate: a filter on the pair itself would be moved below
     # the scoring expressions and compute them twice.
     counts = (
@@ -72,22 +94,43 @@ def confusion_matrix(df: DataFrame, labels: list[str] = CATEGORIES) -> DataFrame
     )
 
 
+def outside_count(df: DataFrame, labels: list[str]) -> DataFrame:
+    """One row: ``outside``, the rows that a matrix over ``labels`` leaves out."""
+    known = F.col("true").isin(*labels) & F.col("predicted").isin(*labels)
+    counts = outcome_counts(df).withColumn("known", F.coalesce(known, F.lit(False)))
+    return counts.agg(
+        F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)).alias("outside")
+    )
+
+
 def matrix_rows(matrix: DataFrame) -> DataFrame:
     """The matrix as one array per true label, columns in label order."""
-    cells = F.array_sort(F.collect_list(F.struct("predicted", "n")))
+    missing = F.col("predicted").isNull().alias("missing")
+    cells = F.array_sort(F.collect_list(F.struct(missing, "predicted", "n")))
     return matrix.groupBy("true").agg(
         F.transform(cells, lambda cell: cell["n"]).alias("counts")
     )
 
 
 def classification_report(
-    df: DataFrame, labels: list[str] = CATEGORIES
+    df: DataFrame, labels: list[str] | None = None
 ) -> DataFrame:
-    """Precision, recall, F1 and support per label; 0 where undefined."""
-    matrix = confusion_matrix(df, labels)
-    hit = F.col("true") == F.col("predicted")
-    # Each cell counts towards its true and towards its predicted label.
-    sides = matrix.select(
+    """Precision, recall, F1 and support per label; 0 where undefined.
+
+    Support and predictions are counted over all rows, also those whose other
+    label is NULL or not in ``labels``. Without ``labels``, all that occur.
+    """
+    if labels is None:
+        labels = found_labels(df)
+    hit = F.coalesce(F.col("true") == F.col("predicted"), F.lit(False))
+    empty = df.sparkSession.range(1).select(F.explode(_label_array(labels)).alias("label"))
+    for name in ("support", "chosen", "tp"):
+        empty = empty.withColumn(name, F.lit(0).cast("bigint"))
+    listed = F.col("label").isin(*[x for x in labels if x is not None])
+    if None in labels:
+        listed = F.col("label").isNull() | listed
+    # Each pair counts towards its true and towards its predicted label.
+    sides = outcome_counts(df).select(
         F.explode(
             F.array(
                 F.struct(
@@ -104,7 +147,7 @@ def classification_report(
                 ),
             )
         ).alias("side")
-    ).select("side.*")
+    ).select("side.*").where(listed).unionByName(empty)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return (
         sides.groupBy("label")
@@ -147,7 +190,7 @@ def average_metrics(report: DataFrame) -> DataFrame:
     return row.select(F.explode(averages).alias("row")).select("row.*")
 
 
-def all_metrics(df: DataFrame, labels: list[str] = CATEGORIES) -> DataFrame:
+def all_metrics(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """Per-label rows and both averages in one table keyed by ``label``."""
     report = classification_report(df, labels)
     averages = average_metrics(report).withColumnRenamed("average", "label")

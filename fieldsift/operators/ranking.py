@@ -18,6 +18,8 @@ from ..session import stage
 # Rows of one slice that one task may sort; they are three longs wide.
 SORT_LIMIT = 4_000_000
 SLICES = 4096
+# Strata whose ranges and cuts are held as literals.
+MAX_STRATA = 50_000
 
 BOUNDS = ["v_lo", "v_hi", "id_lo", "id_hi"]
 
@@ -29,9 +31,14 @@ def seeded_value(seed: int, note_id: Column) -> Column:
 
 
 def rank_keys(df: DataFrame, stratum: str, value: Column) -> DataFrame:
-    """Staged narrow table (stratum, value, note_id); rows rank by value, then id."""
+    """Staged narrow table (stratum, value, note_id); rows rank by value, then id.
+
+    A NULL stratum is refused: it would get a quota that none of its rows meets.
+    """
+    refused = F.raise_error(F.lit(f"{stratum} is NULL; drop or name such rows")).cast("string")
+    named = F.when(F.col(stratum).isNull(), refused.cast(df.schema[stratum].dataType)).otherwise(F.col(stratum))
     keys = df.select(
-        F.col(stratum).alias("stratum"), value.cast("bigint").alias("value"), "note_id"
+        named.alias("stratum"), value.cast("bigint").alias("value"), "note_id"
     )
     return stage(keys, "rank-keys")
 
@@ -57,7 +64,10 @@ def _ranges(rows: DataFrame, *by: str) -> DataFrame:
 
 def stratum_ranges(keys: DataFrame) -> DataFrame:
     """Row count and key range per stratum: (stratum, n, v_lo, v_hi, id_lo, id_hi)."""
-    return hold(_ranges(keys, "stratum"))
+    ranges = _ranges(keys, "stratum")
+    if ranges.limit(MAX_STRATA + 1).count() > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata: they are held on the driver and broadcast")
+    return hold(ranges)
 
 
 def _largest_range(located: DataFrame) -> int:
@@ -82,7 +92,9 @@ def _refine(keys: DataFrame, located: DataFrame) -> DataFrame:
     """Cut every located range into slices and locate the ranks in those."""
 
     def slice_of(x: str, lo: str, hi: str) -> Column:
-        share = (F.col(x) - F.col(lo)) / (F.col(hi) - F.col(lo) + 1.0)
+        # Exact: ids may span more than a BIGINT holds.
+        wide = lambda c: F.col(c).cast("decimal(20,0)")
+        share = (wide(x) - wide(lo)).cast("double") / ((wide(hi) - wide(lo)).cast("double") + 1.0)
         return F.least(F.floor(share * SLICES), F.lit(SLICES - 1))
 
     # A range of one value is cut by note id.

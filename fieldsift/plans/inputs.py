@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
 
 # view -> (source table, its id column, select list)
 VIEWS = {
@@ -51,11 +50,11 @@ VIEWS = {
                 WHEN 0 THEN 'supply_chain_delay'
                 WHEN 1 THEN 'Category: Pricing_Conflict.'
                 WHEN 2 THEN 'The category is demand_spike'
-                WHEN 3 THEN 'I think competitor_pressure fits'
+                WHEN 3 THEN 'my guess: competitor_pressure, again'
                 WHEN 4 THEN 'retailer dissatisfaction'
                 WHEN 5 THEN 'stock shortage delivery delay'
                 WHEN 6 THEN 'price demand'
-                WHEN 7 THEN 'xyz gibberish unknown'
+                WHEN 7 THEN 'no list holds these words'
                 WHEN 8 THEN 'x'
                 WHEN 9 THEN '- category: demand_spike'
                 ELSE '' END AS raw_output""",
@@ -107,10 +106,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame."""
-    source, key, select = VIEWS[name]
+    source, _, select = VIEWS[name]
     rows = table(spark, sf_dir, source)
-    used = [c for c in rows.columns if any(c in expression for expression in select)]
-    return spread(rows.select(*used), key).selectExpr(*select)
+    return rows.selectExpr(*select)
 
 
 def view_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -524,6 +524,32 @@ oracle(
         GROUP BY t.label, p.label""",
     REPORT,
 )
+OPEN = (
+    EVAL
+    + """, labels AS (SELECT DISTINCT unnest([true_category, label]) AS label FROM evaluated),
+    counts AS (SELECT l.label,
+            count(*) FILTER (true_category = l.label AND e.label = l.label) AS tp,
+            count(*) FILTER (e.label = l.label) AS chosen,
+            count(*) FILTER (true_category = l.label) AS support
+        FROM labels l CROSS JOIN evaluated e GROUP BY l.label)"""
+)
+oracle(
+    "confusion_matrix_open",
+    """SELECT t.label AS "true", p.label AS predicted, count(note_id) AS n
+        FROM labels t CROSS JOIN labels p LEFT JOIN evaluated e
+            ON true_category = t.label AND e.label = p.label
+        GROUP BY t.label, p.label""",
+    OPEN,
+)
+oracle(
+    "classification_report_open",
+    """SELECT label, support,
+            round(CASE WHEN chosen = 0 THEN 0 ELSE tp / chosen END, 6) AS "precision",
+            round(CASE WHEN support = 0 THEN 0 ELSE tp / support END, 6) AS recall,
+            round(CASE WHEN chosen + support = 0 THEN 0 ELSE 2 * tp / (chosen + support) END, 6) AS f1
+        FROM counts""",
+    OPEN,
+)
 oracle(
     "classification_report",
     f"""SELECT label, support,

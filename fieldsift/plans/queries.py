@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import CATEGORY_KEYWORDS
+from ..fixed_values import CATEGORIES, CATEGORY_KEYWORDS
 from ..functions import labels, prompts, text
 from ..operators import (
     chat,
@@ -389,12 +389,33 @@ def accuracy(spark, sf_dir):
 
 @query
 def confusion_matrix(spark, sf_dir):
-    return metrics.confusion_matrix(_scored(spark, sf_dir))
+    return metrics.confusion_matrix(_scored(spark, sf_dir), CATEGORIES)
+
+
+def _evaluated(spark, sf_dir):
+    """Truth and the first word of the output, which can be any word."""
+    return _outputs(spark, sf_dir).select(
+        F.col("true_category").alias("true"),
+        labels.eval_label(F.col("raw_output")).alias("predicted"),
+    )
+
+
+@query
+def confusion_matrix_open(spark, sf_dir):
+    return metrics.confusion_matrix(_evaluated(spark, sf_dir))
+
+
+@query
+def classification_report_open(spark, sf_dir):
+    report = metrics.classification_report(_evaluated(spark, sf_dir))
+    return report.withColumns(
+        {m: F.round(m, 6) for m in ("precision", "recall", "f1")}
+    )
 
 
 @query
 def classification_report(spark, sf_dir):
-    report = metrics.classification_report(_scored(spark, sf_dir))
+    report = metrics.classification_report(_scored(spark, sf_dir), CATEGORIES)
     return report.withColumns(
         {m: F.round(m, 6) for m in ("precision", "recall", "f1")}
     )
@@ -402,7 +423,7 @@ def classification_report(spark, sf_dir):
 
 @query
 def weighted_metrics(spark, sf_dir):
-    report = metrics.classification_report(_scored(spark, sf_dir))
+    report = metrics.classification_report(_scored(spark, sf_dir), CATEGORIES)
     return metrics.average_metrics(report).withColumns(
         {m: F.round(m, 6) for m in ("precision", "recall", "f1")}
     )

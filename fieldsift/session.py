@@ -60,16 +60,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash ``df`` over all cores if its input has fewer partitions than those.
-
-    A small file of one row group is read by a single task, which would then do
-    all the row-local work. Large inputs have more partitions than cores and
-    are left where they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores, key)

@@ -95,3 +95,17 @@ def test_written_report(scored, spark, tmp_path):
     assert metrics.confusion_matrix == [[3, 1, 0, 0], [2, 2, 0, 0], [1, 0, 0, 0], [0] * 4]
     assert metrics.accuracy == pytest.approx(5 / 9)
     assert metrics.classification_report.a.support == 4
+
+
+def test_labels_outside_the_list_count(spark):
+    rows = [("a", "a")] * 5 + [("a", "x")] * 3 + [("a", None)] * 2
+    scored = spark.createDataFrame(rows, "true string, predicted string")
+    report = {r.label: r for r in M.classification_report(scored, ["a", "b"]).collect()}
+    assert report["a"].support == 10 and report["a"].recall == 0.5 and set(report) == {"a", "b"}
+    assert M.outside_count(scored, ["a", "b"]).first().outside == 5
+    every = M.classification_report(scored)
+    assert {r.label for r in every.collect()} == {"a", "x", None}
+    weighted = M.average_metrics(every).where("average = 'weighted'").first()
+    assert weighted.recall == M.accuracy(scored).first().accuracy == 0.5
+    cells = {(r.true, r.predicted): r.n for r in M.confusion_matrix(scored).collect()}
+    assert len(cells) == 9 and cells["a", None] == 2 and cells["a", "x"] == 3 and cells["x", "a"] == 0

@@ -157,3 +157,23 @@ def test_fewshot_by_bucket(notes, by_class, seeded, sort_limit):
                 for i in range(10)
             ]
         assert sorted(found[c]) == [(i + 1, n) for i, n in enumerate(picked)]
+
+
+def test_ranks_of_ids_over_the_whole_range(spark):
+    from fieldsift.operators.sampling import stratified_split
+
+    notes = spark.range(400).select(
+        F.expr("CASE id WHEN 0 THEN -9223372036854775808 WHEN 1 THEN 9223372036854775807 ELSE xxhash64(id) END").alias("note_id"),
+        F.lit("x").alias("output"),
+    )
+    few, many = (stratified_split(notes, 0.25, sort_limit=n) for n in (10, 10_000))
+    rows = lambda df: {r.note_id for r in df.where("split = 'test'").collect()}
+    assert rows(few) == rows(many) and len(rows(few)) == 100
+
+
+def test_null_stratum_is_refused(spark):
+    from fieldsift.operators.sampling import stratified_split
+
+    notes = spark.createDataFrame([(i, "a" if i % 2 else None) for i in range(20)], "note_id long, output string")
+    with pytest.raises(Exception, match="output is NULL"):
+        stratified_split(notes).collect()

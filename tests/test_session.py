@@ -32,8 +32,3 @@ def test_stage_keeps_rows_and_schema(spark):
     assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, df.collect()))
     plan = staged._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan
-
-
-def test_spread(spark):
-    assert session.spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == 8
-    assert session.spread(spark.range(100, numPartitions=20), "id").rdd.getNumPartitions() == 20

@@ -1,44 +1,20 @@
 import random
 import re
+import string
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldsift.fixed_values import ABBREVIATIONS
 from fieldsift.functions import text as T
 
 
-def punctuation(t):
-    for mark in "!?.,":
-        t = re.sub(f"[{mark}]{{2,}}", mark, t)
-    return re.sub(r"[^a-zA-Z0-9\s.,!?']", "", t)
-
-
-def whitespace(t):
-    return re.sub(r"\s+", " ", t).strip()
-
-
-def expanded(t):
-    words = (ABBREVIATIONS.get(re.sub("[^a-zA-Z]", "", w.lower()), w) for w in t.split())
-    return " ".join(words)
-
-
-def cleaned(t):
-    return whitespace(expanded(punctuation(t.lower()))) if t.strip() else None
-
-
 def unaccented(t):
     return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
 
 
-RULES = [
-    (T.py_strip, str.strip),
-    (T.clean_whitespace, whitespace),
-    (T.clean_punctuation, punctuation),
-    (T.expand_abbreviations, expanded),
-    (T.clean_note, cleaned),
-    (T.strip_accents, unaccented),
-]
+RULES = [T.py_strip, T.clean_whitespace, T.clean_punctuation, T.expand_abbreviations, T.clean_note, T.strip_accents]
 
 
 @pytest.fixture(scope="module")
@@ -55,12 +31,49 @@ def texts():
     ] + ["", "   ", "\u00a0\u2003", "".join(map(chr, range(0x3100)))]
 
 
-@pytest.mark.parametrize("spark_rule, python_rule", RULES, ids=lambda f: f.__name__)
-def test_equals_python_on_any_unicode(apply, texts, spark_rule, python_rule):
-    assert apply(spark_rule, texts) == [python_rule(t) for t in texts]
+def test_white_space_is_that_of_python(apply, texts):
+    assert apply(T.py_strip, texts) == [t.strip() for t in texts]
+    joined = [" ".join(re.split(r"\s+", t)).strip() for t in texts]
+    assert apply(T.clean_whitespace, texts) == joined
+    assert apply(T.strip_accents, texts) == [unaccented(t) for t in texts]
+
+
+def test_punctuation_properties(apply, texts):
+    kept = set(string.ascii_letters + string.digits + ".,!?'")
+    found = apply(T.clean_punctuation, texts)
+    for text, out in zip(texts, found, strict=True):
+        assert all(c in kept or c.isspace() for c in out)
+        assert [c for c in out if c.isalnum()] == [c for c in text if c in kept and c.isalnum()]
+        assert [c for c in out if c.isspace()] == [c for c in text if c.isspace()]
+    cases = {"a!!b??c..d,,e": "a!b?c.d,e", "!?!?": "!?!?", "#a$": "a", ".#.": "..", "it''s": "it''s", "é-1": "1"}
+    assert apply(T.clean_punctuation, list(cases)) == list(cases.values())
+
+
+def test_abbreviation_properties(apply, texts):
+    words = {w: full for w, full in ABBREVIATIONS.items() if w.isalpha()}
+    assert apply(T.expand_abbreviations, list(words)) == list(words.values())
+    assert apply(T.expand_abbreviations, [f" {w.upper()}!1 zz" for w in words]) == [f"{f} zz" for f in words.values()]
+    for text, out in zip(texts, apply(T.expand_abbreviations, texts), strict=True):
+        for word in text.split():
+            if not any(c in string.ascii_letters for c in word):
+                assert word in out
+
+
+def test_clean_note_properties(apply, texts):
+    kept = set(string.ascii_lowercase + string.digits + ".,!?' ")
+    found = apply(T.clean_note, texts)
+    steps = T.clean_whitespace, T.expand_abbreviations, T.clean_punctuation
+    lowered = apply(lambda c: steps[0](steps[1](steps[2](F.lower(c)))), [t for t in texts if t.isascii()])
+    assert [o for t, o in zip(texts, found, strict=True) if t.isascii() and o is not None] == [
+        o for t, o in zip([t for t in texts if t.isascii()], lowered, strict=True) if t.strip()
+    ]
+    for text, out in zip(texts, found, strict=True):
+        assert (out is None) == (not text.strip())
+        if out is not None:
+            assert set(out) <= kept and out == " ".join(out.split())
 
 
-@pytest.mark.parametrize("rule", [r for r, _ in RULES], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("rule", RULES, ids=lambda f: f.__name__)
 def test_null_stays_null(apply, rule):
     assert apply(rule, [None]) == [None]
 
