@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from fieldsift.functions import labels, text
 from fieldsift.operators import chat, dataset, features, history, sampling
 from fieldsift.plans.predict import predict_notes
+from fieldsift.plans.queries import QUERIES
 from fieldsift.session import stage
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -80,8 +80,8 @@ def test_chat_checks_roles_without_texts(spark):
     assert len(scans) == 2 and sum("text" in line.split("ReadSchema")[1] for line in scans) == 1
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"cv_train", "model_roundtrip"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"cv_train", "model_roundtrip"}))
 def test_no_cross_join_and_no_python(spark, name):
-    found = plan(entry.queries()[name](spark, SF_DIR))
-    for node in ("CartesianProduct", "NestedLoop", "EvalPython", "InPandas", "MapInArrow"):
+    found = plan(QUERIES[name](spark, SF_DIR))
+    for node in ("CartesianProduct", "NestedLoop", "EvalPython", "InPandas", "MapInArrow", "REPARTITION_BY_NUM"):
         assert node not in found

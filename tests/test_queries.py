@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fieldsift.plans.oracles import ORACLES
+from fieldsift.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"rf_train_score", "model_roundtrip", "cv_train"}
@@ -32,14 +34,15 @@ def comparable(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(ORACLES) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    result = duck.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    result = duck.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert comparable(df.collect(), df.columns) == comparable(result.fetchall(), columns)
@@ -51,5 +54,5 @@ def test_entry(spark):
 
 
 def test_training_queries(spark):
-    rows = entry.queries()["rf_train_score"](spark, SF_DIR).collect()
+    rows = QUERIES["rf_train_score"](spark, SF_DIR).collect()
     assert rows and all(0 < r.confidence <= 1 for r in rows)
