@@ -245,3 +245,27 @@ def test_clause_grammar():
     assert plain == 4.0 and grammar.clause("not a fool".split()) < plain < grammar.clause("you fool".split())
     assert grammar.clause("they said fool".split()) < grammar.clause("they are fool".split())
     assert grammar.clause("i will kill you".split()) > 0 == grammar.clause("i never kill you".split())
+
+
+def test_aligned_stretches_match_a_plain_comparison():
+    rng = np.random.default_rng(5)
+    n = passages.LENGTH
+    own, other = [], []
+    for i in range(300):
+        a = rng.integers(0, 40 if i % 3 == 0 else 1 << 32, rng.integers(n - 2, 2 * n + 1)).astype("<u4")
+        b = a[: rng.integers(n - 2, len(a) + 1)].copy()
+        for at in rng.integers(0, len(b), rng.integers(0, 12)):
+            b[at] = rng.integers(0, 1 << 32)
+        if i % 4 == 0:
+            b = np.insert(b, rng.integers(0, len(b)), 7)[: 2 * n]
+        own.append(a)
+        other.append(b.astype("<u4"))
+    for a, b, hit in zip(own, other, passages.compare(own, other), strict=True):
+        end = min(len(a), len(b))
+        plain = passages.jaccard(a[:end], b[:end])
+        good = np.flatnonzero(plain >= passages.SIMILAR)
+        assert (hit is not None) == (len(good) > 0)
+        if hit:
+            assert hit[:2] == (good[0], good[-1])
+            assert abs(hit[2] - plain.max()) < 1e-12
+    assert passages.compare([], []) == []
