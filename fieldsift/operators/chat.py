@@ -19,8 +19,8 @@ from ..functions.labels import title_from_code
 from ..functions.prompts import chat_messages
 from ..functions.text import py_strip
 
-# Turns that are joined into one text; longer conversations give more rows.
-TURNS_PER_CHUNK = 1000
+# Turn numbers whose roles are checked together.
+TURNS_PER_CHECK = 1000
 
 
 def category_definitions(
@@ -87,36 +87,21 @@ def message_rows(df: DataFrame, note: Column) -> DataFrame:
     )
 
 
-def render_conversations(
-    turns: DataFrame,
-    generation_prompt: bool = False,
-    turns_per_chunk: int = TURNS_PER_CHUNK,
+def conversation_checks(
+    turns: DataFrame, turns_per_check: int = TURNS_PER_CHECK
 ) -> DataFrame:
-    """Conversations in chat markup: (conv_id, chunk, n_turns, valid, rendered).
+    """(conv_id, n_turns, last_turn, valid), one row per conversation.
 
-    Expects (conv_id, turn, role, text) with unique turn numbers. Texts of one
-    conversation are joined per ``turns_per_chunk`` turn numbers; the chunks in
-    order make up the whole text, so a conversation of any length is rendered
-    without gathering it in one task. ``valid`` is false for a conversation that
-    starts with a system role or does not alternate.
+    ``valid`` is false for a conversation that starts with a system role or does
+    not alternate, beginning with the user. A turn is a user turn where its place
+    is even. Roles are checked in stretches of ``turns_per_check`` turn numbers;
+    whether one starts at an even place follows from the sizes of the earlier
+    ones, so no conversation is gathered in one row.
     """
-    chunked = turns.withColumn("chunk", F.floor(F.col("turn") / turns_per_chunk))
-
-    name = F.when(F.col("role") == "assistant", "model").otherwise(F.col("role"))
-    piece = F.concat(
-        F.lit(TURN_START), name, F.lit("\n"), py_strip(F.col("text")), F.lit(TURN_END)
-    )
-    pieces = F.array_sort(F.collect_list(F.struct("turn", piece.alias("piece"))))
-    texts = chunked.groupBy("conv_id", "chunk").agg(
-        F.array_join(F.transform(pieces, lambda t: t["piece"]), "").alias("rendered")
-    )
-
-    # The check works on roles alone. A turn is a user turn where its place is
-    # even; whether a chunk starts at an even place follows from the sizes of
-    # the earlier chunks.
+    stretch = F.floor(F.col("turn") / turns_per_check).alias("stretch")
     roles = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    in_chunk = chunked.groupBy("conv_id", "chunk").agg(
-        F.count("*").alias("n_turns"), roles.alias("roles")
+    parts = turns.groupBy("conv_id", stretch).agg(
+        F.count("*").alias("n"), F.max("turn").alias("last"), roles.alias("roles")
     )
 
     def users_at(parity: int) -> Column:
@@ -124,37 +109,63 @@ def render_conversations(
             F.transform(
                 "roles", lambda t, i: (t["role"] == "user") == (i % 2 == parity)
             ),
-            lambda fits: fits,
+            lambda fits: F.coalesce(fits, F.lit(False)),
         )
 
-    in_order = Window.partitionBy("conv_id").orderBy("chunk")
-    whole = Window.partitionBy("conv_id")
-    before = F.sum("n_turns").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    checked = (
-        in_chunk.select(
-            "conv_id", "chunk", "n_turns",
+    in_order = Window.partitionBy("conv_id").orderBy("stretch")
+    before = F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        parts.select(
+            "conv_id", "stretch", "n", "last",
             users_at(0).alias("fits_even"),
             users_at(1).alias("fits_odd"),
-            (F.get("roles", F.lit(0))["role"] == "system").alias("system_first"),
         )
         .withColumn("before", F.coalesce(before, F.lit(0)))
-        .withColumn(
-            "fits",
-            F.when(F.col("before") % 2 == 0, F.col("fits_even")).otherwise(
-                F.col("fits_odd")
-            )
-            & ~((F.col("before") == 0) & F.col("system_first")),
-        )
-        .select(
-            "conv_id", "chunk", "n_turns",
-            F.bool_and("fits").over(whole).alias("valid"),
-            (F.col("chunk") == F.max("chunk").over(whole)).alias("is_last"),
+        .groupBy("conv_id")
+        .agg(
+            F.sum("n").alias("n_turns"),
+            F.max("last").alias("last_turn"),
+            F.bool_and(
+                F.when(F.col("before") % 2 == 0, F.col("fits_even")).otherwise(
+                    F.col("fits_odd")
+                )
+            ).alias("valid"),
         )
     )
+
+
+def render_turns(turns: DataFrame) -> DataFrame:
+    """Turns with their chat markup as ``rendered``, each within its row.
+
+    The pieces of a conversation in turn order make up its text.
+    """
+    name = F.when(F.col("role") == "assistant", "model").otherwise(F.col("role"))
+    return turns.withColumn(
+        "rendered",
+        F.concat(
+            F.lit(TURN_START), name, F.lit("\n"), py_strip(F.col("text")), F.lit(TURN_END)
+        ),
+    )
+
+
+def render_conversations(
+    turns: DataFrame,
+    generation_prompt: bool = False,
+    turns_per_check: int = TURNS_PER_CHECK,
+) -> DataFrame:
+    """Conversations in chat markup, a row per turn: (conv_id, turn, valid, rendered).
+
+    Expects (conv_id, turn, role, text) with unique turn numbers. ``valid`` is
+    that of :func:`conversation_checks`; with ``generation_prompt`` the last
+    piece of a conversation opens the model's turn.
+    """
+    checks = conversation_checks(turns, turns_per_check)
     tail = F.when(
-        F.lit(generation_prompt) & F.col("is_last"), TURN_START + "model\n"
+        F.lit(generation_prompt) & (F.col("turn") == F.col("last_turn")),
+        TURN_START + "model\n",
     ).otherwise("")
-    return texts.join(checked, ["conv_id", "chunk"]).select(
-        "conv_id", "chunk", "n_turns", "valid",
-        F.concat("rendered", tail).alias("rendered"),
+    return (
+        render_turns(turns)
+        .join(checks, "conv_id")
+        .select("conv_id", "turn", "valid", F.concat("rendered", tail).alias("rendered"))
     )

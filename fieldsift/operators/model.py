@@ -19,8 +19,10 @@ from .dataset import class_weights
 from .features import TfidfModel, decode_label, encode_label, label_classes
 from .metrics import weighted_f1_by
 
-# Deeper trees grow exponentially in memory with this many of them.
-TREE_DEPTH = 10
+# The greatest depth that Spark allows; leaves end at MIN_LEAF notes anyway.
+TREE_DEPTH = 30
+# Larger groups of nodes are split in one pass over the features.
+NODE_MEMORY_MB = 1024
 
 
 def _model_text(column: str, clean: bool) -> Column:
@@ -70,6 +72,7 @@ class NoteClassifier:
             numTrees=n_trees,
             maxDepth=tree_depth,
             minInstancesPerNode=MIN_LEAF,
+            maxMemoryInMB=NODE_MEMORY_MB,
             featureSubsetStrategy="sqrt",
             weightCol="weight",
             seed=seed,

@@ -13,7 +13,9 @@ from ..fixed_values import FALLBACK_METHOD, PRIMARY_METHOD
 from ..functions.labels import parse_category
 from ..functions.prompts import latency_text, reasoning
 
-OUTPUT_SCHEMA = "note_id long, raw_output string, latency_seconds double"
+OUTPUT_SCHEMA = "note_id long, raw_output string, latency_seconds double, error string"
+# Faults of the caller's code: these fail the job.
+PROGRAMMING_ERRORS = (TypeError, NameError, AttributeError, ImportError, LookupError, AssertionError)
 RESULT = ["issue_category", "confidence", "latency_seconds"]
 
 
@@ -23,21 +25,33 @@ def generate_outputs(
     """Raw outputs of a model for (note_id, prompt): OUTPUT_SCHEMA.
 
     ``generate`` answers a list of prompts; it runs in the tasks, on one Arrow
-    batch after the other. A batch that it fails on gets NULL outputs, which
-    leaves its notes to the next method. The latency of a note is its share of
-    the batch's time.
+    batch after the other. A batch that it fails on gets NULL outputs and the
+    ``error``, which leaves its notes to the next method; PROGRAMMING_ERRORS and
+    a wrong number of answers fail the job. The latency of a note is its share
+    of the batch's time.
     """
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             start = time.perf_counter()
+            error = None
             try:
                 outputs = list(generate(batch["prompt"].tolist()))
-            except Exception:
+            except PROGRAMMING_ERRORS:
+                raise
+            except Exception as failure:
                 outputs = [None] * len(batch)
+                error = f"{type(failure).__name__}: {failure}"
+            if len(outputs) != len(batch):
+                raise AssertionError(f"{len(outputs)} answers to {len(batch)} prompts")
             share = (time.perf_counter() - start) / max(len(batch), 1)
             yield pd.DataFrame(
-                {"note_id": batch["note_id"], "raw_output": outputs, "latency_seconds": share}
+                {
+                    "note_id": batch["note_id"],
+                    "raw_output": outputs,
+                    "latency_seconds": share,
+                    "error": pd.Series([error] * len(batch), dtype=object),
+                }
             )
 
     return prompts.select("note_id", "prompt").mapInPandas(answer, OUTPUT_SCHEMA)

@@ -111,6 +111,11 @@ SPLIT = (
 )
 
 
+def status(text: str) -> str:
+    return f"""CASE WHEN {text} IS NULL THEN 'missing' WHEN length({text}) < 1 THEN 'too_short'
+        WHEN length({text}) > 1000 THEN 'too_long' WHEN {blank(text)} THEN 'blank' ELSE 'ok' END"""
+
+
 def oracle(name: str, select: str, *ctes: str) -> None:
     ORACLES[name] = (f"WITH {', '.join(ctes)} " if ctes else "") + select
 
@@ -351,17 +356,19 @@ oracle(
         FROM v_noisy_notes""",
     NOISY,
 )
-oracle(
-    "chat_render",
-    f"""SELECT conv_id, CAST(0 AS BIGINT) AS chunk, count(*) AS n_turns,
-        bool_and((role = 'user') = (place % 2 = 0) AND NOT (place = 0 AND role = 'system'))
-            AS valid,
-        string_agg('<start_of_turn>' || CASE role WHEN 'assistant' THEN 'model' ELSE role END
-            || chr(10) || {strip('text')} || '<end_of_turn>' || chr(10), '' ORDER BY turn)
-            AS rendered
+_checked = """checked AS (SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn,
+        bool_and((role = 'user') = (place % 2 = 0)) AS valid
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place
               FROM conversations)
-        GROUP BY conv_id""",
+        GROUP BY conv_id)"""
+oracle("conversation_checks", "SELECT * FROM checked", _checked)
+oracle(
+    "chat_render",
+    f"""SELECT conv_id, turn, valid,
+        '<start_of_turn>' || CASE role WHEN 'assistant' THEN 'model' ELSE role END
+            || chr(10) || {strip('text')} || '<end_of_turn>' || chr(10) AS rendered
+        FROM conversations JOIN checked USING (conv_id)""",
+    _checked,
 )
 
 # --- contracts ----------------------------------------------------------------
@@ -372,10 +379,7 @@ for name, source in [("note_contract", "v_noisy_notes"), ("document_contract", "
         f"""SELECT note_id, length(rep_note) AS n_chars,
             coalesce(length(rep_note) BETWEEN 1 AND 1000, false) AS within_length,
             {blank(NOTE)} AS blank,
-            CASE WHEN rep_note IS NULL THEN 'missing'
-                 WHEN length(rep_note) < 1 THEN 'too_short'
-                 WHEN length(rep_note) > 1000 THEN 'too_long'
-                 WHEN {blank(NOTE)} THEN 'blank' ELSE 'ok' END AS status
+            {status(NOTE)} AS status
             FROM {source}""",
         view_sql(source),
     )
@@ -487,7 +491,7 @@ oracle(
     "eval_predictions",
     """SELECT note_id, substr(rep_note, 1, 100) AS note, true_category AS "true",
         label AS predicted, true_category = label AS correct
-        FROM v_notes JOIN evaluated USING (note_id)""",
+        FROM evaluated LEFT JOIN v_notes USING (note_id)""",
     view_sql("v_notes"),
     EVAL,
 )
@@ -663,23 +667,71 @@ PREDICTED = (
     + ", "
     + _abbreviations
     + f""", v_raw_outputs AS (
-        SELECT note_id, rep_note, {clean(NOTE)} AS raw_output
-        FROM v_noisy_notes, abbreviations
-        WHERE length(rep_note) BETWEEN 1 AND 1000 AND NOT {blank(NOTE)})"""
+        SELECT note_id, rep_note, {status(NOTE)} AS status, {clean(NOTE)} AS raw_output
+        FROM v_noisy_notes, abbreviations)"""
     + PARSED[len(view_sql("v_raw_outputs")):]
 )
+_answer = ", ".join(
+    f"CASE WHEN status = 'ok' THEN {value} END AS {name}"
+    for name, value in [
+        ("cleaned_note", "raw_output"),
+        ("issue_category", "category"),
+        ("confidence", "confidence"),
+        ("method", "'keyword'"),
+    ]
+)
 oracle(
     "predict_notes",
-    """SELECT note_id, rep_note AS input_note, raw_output AS cleaned_note,
-        category AS issue_category, confidence, 'keyword' AS method FROM parsed""",
+    f"SELECT note_id, rep_note AS input_note, status, {_answer} FROM parsed",
     PREDICTED,
 )
 oracle(
     "stream_predict",
     """SELECT log, rep_note AS input_note, category AS issue_category
-        FROM parsed CROSS JOIN (VALUES ('csv'), ('jsonl')) AS logs(log)""",
+        FROM parsed CROSS JOIN (VALUES ('csv'), ('jsonl')) AS logs(log)
+        WHERE status = 'ok'""",
     PREDICTED,
 )
+oracle(
+    "stream_rejects",
+    """SELECT note_id, input_note, status FROM (
+        SELECT note_id, rep_note AS input_note, """
+    + status(NOTE)
+    + """ AS status FROM v_noisy_notes) WHERE status <> 'ok'""",
+    NOISY,
+)
+# The forest's answers are checked for being answers, the primary method's in full.
+oracle(
+    "predict_tiered",
+    f"""SELECT note_id, status,
+        CASE WHEN status = 'ok' AND given THEN {lit(PRIMARY_METHOD)}
+             WHEN status = 'ok' THEN {lit(FALLBACK_METHOD)} END AS method,
+        CASE WHEN status = 'ok' AND given THEN category END AS primary_category,
+        status = 'ok' AS answered
+        FROM (SELECT n.note_id, {status("n.rep_note")} AS status, category,
+                  coalesce(method = 'primary' AND raw_output <> '', false) AS given
+              FROM v_notes AS n LEFT JOIN parsed ON parsed.note_id = n.note_id)""",
+    view_sql("v_notes"),
+    PARSED,
+)
+oracle(
+    "rf_train_score",
+    """SELECT note_id, output AS "true", true AS known, true AS in_range
+        FROM prepared WHERE split = 'test'""",
+    SPLIT,
+)
+oracle(
+    "model_roundtrip",
+    """SELECT note_id, output AS "true", true AS same FROM prepared WHERE split = 'test'""",
+    SPLIT,
+)
+oracle(
+    "cv_train",
+    """SELECT fold, count(*) AS n, true AS in_range FROM (
+        SELECT CAST(generate_series AS INTEGER) % 5 AS fold
+        FROM generate_series(0, (SELECT count(*) - 1 FROM dedup))) GROUP BY fold""",
+    DEDUP,
+)
 
 # --- features -----------------------------------------------------------------
 

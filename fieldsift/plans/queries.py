@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import CATEGORIES, CATEGORY_KEYWORDS
+from ..fixed_values import CATEGORIES, CATEGORY_KEYWORDS, PRIMARY_METHOD
 from ..functions import labels, prompts, text
 from ..operators import (
     chat,
@@ -18,16 +18,12 @@ from ..operators import (
     sampling,
     scoring,
 )
-from ..session import shared_path
+from ..session import shared_path, stage
 from ..sources import artifacts, notes, prediction_log, reports
 from ..streaming import classify
 from . import predict
 from .inputs import table, view, view_stream
 from .prepare import prepare_dataset
-from .train import train_and_evaluate
-
-# A smaller forest than the default keeps the training queries short.
-FOREST = {"n_trees": 20, "tree_depth": 5}
 
 QUERIES = {}
 
@@ -376,7 +372,7 @@ def eval_predictions(spark, sf_dir):
         labels.eval_label(F.col("raw_output")).alias("predicted"),
     )
     texts = _raw(spark, sf_dir).select("note_id", F.col("rep_note").alias("note"))
-    return metrics.eval_predictions(texts.join(outputs, "note_id"))
+    return metrics.eval_predictions(outputs.join(texts, "note_id", "left"))
 
 
 # --- evaluation ---------------------------------------------------------------
@@ -524,6 +520,11 @@ def chat_messages(spark, sf_dir):
     return chat.message_rows(_noisy(spark, sf_dir), F.col("rep_note"))
 
 
+@query
+def conversation_checks(spark, sf_dir):
+    return chat.conversation_checks(table(spark, sf_dir, "conversations"))
+
+
 @query
 def chat_render(spark, sf_dir):
     return chat.render_conversations(table(spark, sf_dir, "conversations"))
@@ -586,23 +587,58 @@ def label_encode(spark, sf_dir):
 @query
 def rf_train_score(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)
-    fitted = model.NoteClassifier.fit(
-        prepared.where(F.col("split") == "train"), **FOREST
+    fitted = model.NoteClassifier.fit(prepared.where(F.col("split") == "train"))
+    scored = model.evaluate(fitted, prepared.where(F.col("split") == "test"))
+    return scored.select(
+        "note_id",
+        "true",
+        F.col("predicted").isin(fitted.classes).alias("known"),
+        F.col("confidence").between(1.0 / len(fitted.classes), 1.0).alias("in_range"),
     )
-    return model.evaluate(fitted, prepared.where(F.col("split") == "test"))
 
 
 @query
 def model_roundtrip(spark, sf_dir):
-    return train_and_evaluate(
-        _prepared(spark, sf_dir), shared_path(spark, "model"), **FOREST
+    prepared = _prepared(spark, sf_dir)
+    test = prepared.where(F.col("split") == "test").drop("split")
+    fitted = model.NoteClassifier.fit(prepared.where(F.col("split") == "train"))
+    path = shared_path(spark, "model")
+    artifacts.save_classifier(spark, fitted, path)
+    loaded = artifacts.load_classifier(spark, path)
+    before, after = model.evaluate(fitted, test), model.evaluate(loaded, test)
+    answer = F.struct("predicted", "confidence")
+    return before.select("note_id", "true", answer.alias("fresh")).join(
+        after.select("note_id", answer.alias("saved")), "note_id"
+    ).select("note_id", "true", F.col("fresh").eqNullSafe(F.col("saved")).alias("same"))
+
+
+@query
+def predict_tiered(spark, sf_dir):
+    train = _prepared(spark, sf_dir).where(F.col("split") == "train")
+    fitted = model.NoteClassifier.fit(train)
+    outputs = _outputs(spark, sf_dir).where("method = 'primary' AND raw_output <> ''")
+    found = predict.predict_tiered(_raw(spark, sf_dir), fitted, outputs)
+    category, confidence = F.col("issue_category"), F.col("confidence")
+    told = F.col("reasoning").isNotNull() & confidence.between(0.0, 1.0)
+    return found.select(
+        "note_id",
+        "status",
+        "method",
+        F.when(F.col("method") == PRIMARY_METHOD, category).alias("primary_category"),
+        F.coalesce(category.isin(fitted.classes) & told, F.lit(False)).alias("answered"),
     )
 
 
 @query
 def cv_train(spark, sf_dir):
-    folded = sampling.stratified_folds(dataset.dedup_first(_valid(spark, sf_dir)))
-    return model.cross_validate(folded, n_trees=5, tree_depth=5)
+    folded = stage(
+        sampling.stratified_folds(dataset.dedup_first(_valid(spark, sf_dir))), "folded"
+    )
+    sizes = folded.groupBy("fold").agg(F.count("*").alias("n"))
+    scores = model.cross_validate(folded)
+    return sizes.join(scores, "fold").select(
+        "fold", "n", F.col("f1_weighted").between(0.0, 1.0).alias("in_range")
+    )
 
 
 # --- log reports and streams --------------------------------------------------
@@ -644,6 +680,20 @@ def stream_predict(spark, sf_dir):
     return both.select(F.col("method").alias("log"), "input_note", "issue_category")
 
 
+@query
+def stream_rejects(spark, sf_dir):
+    path = shared_path(spark, "rejects")
+    classify.classify_stream(
+        view_stream(spark, sf_dir, "v_noisy_notes"),
+        shared_path(spark, "log-csv"),
+        shared_path(spark, "log-jsonl"),
+        shared_path(spark, "stream"),
+        rejects_path=path,
+    ).awaitTermination()
+    rows = spark.read.schema("note_id long, input_note string, status string").json(path)
+    return rows.select("note_id", "input_note", "status")
+
+
 @query
 def stream_counts(spark, sf_dir):
     running, name = classify.count_stream(

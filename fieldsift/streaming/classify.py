@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.labels import parse_category
 from ..operators.history import category_counts
-from ..plans.predict import predict_notes
+from ..plans.predict import predict_notes, rejected_input
 from ..sources.prediction_log import log_rows, save_predictions
 
 
@@ -20,16 +20,24 @@ def classify_stream(
     jsonl_path: str,
     checkpoint: str,
     scorer: Callable[[Column], Column] = parse_category,
+    rejects_path: str | None = None,
 ) -> StreamingQuery:
     """Predict every note available and add it to both logs.
 
+    Notes that break the contract go to ``rejects_path`` as JSON lines of
+    (note_id, input_note, status), if one is given.
+
     Each micro-batch is written under its own id, so a batch that is repeated
     after a failure replaces itself and a restart adds nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = log_rows(predict_notes(batch, scorer))
-        save_predictions(rows, csv_path, jsonl_path, f"stream-{batch_id:012d}")
+        name = f"stream-{batch_id:012d}"
+        predicted = predict_notes(batch, scorer).where("status = 'ok'")
+        save_predictions(log_rows(predicted), csv_path, jsonl_path, name)
+        if rejects_path:
+            rejects = rejected_input(batch).write.mode("overwrite")
+            rejects.json(f"{rejects_path}/batch_id={name}")
 
     return (
         notes.writeStream.foreachBatch(write)

@@ -18,11 +18,11 @@ def turns(spark):
     return spark.createDataFrame(rows, TURNS).repartition(5)
 
 
-@pytest.mark.parametrize("per_chunk", [1000, 10, 4, 1])
-def test_render(turns, per_chunk):
+@pytest.mark.parametrize("per_check", [1000, 10, 4, 1])
+def test_render(turns, per_check):
     texts, verdicts = {}, {}
-    rendered = C.render_conversations(turns, turns_per_chunk=per_chunk)
-    for r in rendered.orderBy("conv_id", "chunk").collect():
+    rendered = C.render_conversations(turns, turns_per_check=per_check)
+    for r in rendered.orderBy("conv_id", "turn").collect():
         texts[r.conv_id] = texts.get(r.conv_id, "") + r.rendered
         verdicts.setdefault(r.conv_id, set()).add(r.valid)
     assert verdicts == {1: {True}, 2: {False}, 3: {False}, 4: {True}, 5: {False}}
@@ -34,9 +34,18 @@ def test_render(turns, per_chunk):
     )
 
 
+def test_one_row_per_turn_whatever_the_turn_numbers(spark):
+    rows = [(1, 0, "user", "a"), (1, 5000, "assistant", "b"), (1, 9000, "user", "c"), (2, 0, None, "d")]
+    turns = spark.createDataFrame(rows, TURNS)
+    assert C.render_conversations(turns).count() == 4
+    found = {r.conv_id: r for r in C.conversation_checks(turns).collect()}
+    assert (found[1].n_turns, found[1].last_turn, found[1].valid) == (3, 9000, True)
+    assert found[2].valid is False
+
+
 def test_generation_prompt_comes_last(turns):
     found = C.render_conversations(turns.where("conv_id = 1"), True, 10)
-    pieces = [r.rendered for r in found.orderBy("chunk").collect()]
+    pieces = [r.rendered for r in found.orderBy("turn").collect()]
     assert [p.endswith("<start_of_turn>model\n") for p in pieces] == [False] * (len(pieces) - 1) + [True]
 
 

@@ -115,10 +115,14 @@ def test_predict_keeps_the_note_as_it_came(spark):
     notes = spark.createDataFrame(
         [(1, " STK   shortage!! "), (2, "  "), (3, "x" * 1001), (4, None)], "note_id long, rep_note string"
     )
-    found = predict_notes(notes).collect()
-    assert [(r.note_id, r.input_note, r.cleaned_note, r.issue_category) for r in found] == [
-        (1, " STK   shortage!! ", "stock shortage!", "supply_chain_delay")
+    found = predict_notes(notes).orderBy("note_id").collect()
+    assert [(r.status, r.cleaned_note, r.issue_category, r.method) for r in found] == [
+        ("ok", "stock shortage!", "supply_chain_delay", "keyword"),
+        ("blank", None, None, None),
+        ("too_long", None, None, None),
+        ("missing", None, None, None),
     ]
+    assert [r.input_note for r in found] == [" STK   shortage!! ", "  ", "x" * 1001, None]
     assert {r.note_id: r.status for r in rejected_input(notes).collect()} == {
         2: "blank", 3: "too_long", 4: "missing",
     }
@@ -134,7 +138,7 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(str(source))
-        classify_stream(stream, *paths).awaitTermination()
+        classify_stream(stream, *paths, rejects_path=str(tmp_path / "rejects")).awaitTermination()
 
     def logged():
         return [
@@ -149,11 +153,14 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     run()
     expected = sorted(
         (r.input_note, r.issue_category)
-        for r in predict_notes(spark.read.parquet(str(source))).collect()
+        for r in predict_notes(spark.read.parquet(str(source))).where("status = 'ok'").collect()
     )
     assert logged() == [expected, expected]
     both = L.read_csv(spark, paths[0]).intersect(L.read_jsonl(spark, paths[1]))
     assert both.count() == len(expected)
+    rejects = spark.read.json(str(tmp_path / "rejects"))
+    assert {r.note_id for r in rejects.collect()} == set(range(0, 80, 7))
+    assert {r.status for r in rejects.collect()} == {"blank"} and rejects.count() == 12
 
 
 def test_count_stream(spark, tmp_path, log):

@@ -26,6 +26,19 @@ def test_equals_printf(spark):
         assert row.r == round(row.v, 3)
 
 
+def test_large_and_special(spark):
+    values = [2.0**53 + 2, 1e17, 2.0**44 + 0.125, 2.0**50 - 0.5, 2.0**63, 2.0**80 + 2.0**40, -1e30, 9.995, 0.995]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", *[N.fixed_point(F.col("v"), d).alias(f"d{d}") for d in range(5)]
+    )
+    for row in rows.collect():
+        for digits in range(5):
+            assert row[f"d{digits}"] == f"{row.v:.{digits}f}"
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (-float("inf"),), (1e300,)], "v double")
+    found = [r[0] for r in odd.select(N.fixed_point(F.col("v"), 2)).collect()]
+    assert found[:3] == ["nan", "inf", "-inf"] and float(found[3]) == 1e300
+
+
 def test_null(spark):
     row = spark.range(1).select(N.fixed_point(F.lit(None).cast("double"), 2).alias("x")).first()
     assert row.x is None
