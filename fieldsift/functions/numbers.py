@@ -21,7 +21,7 @@ def fixed_point(value: Column, digits: int) -> Column:
     Rounds the binary value itself and sends exact halves to the even
     neighbour, as C's printf does. ``format_string`` rounds the shortest decimal
     form half up, so it differs on values like 0.125 and 1.005. Exact below
-    1e38; beyond, the digits after the 17th are zeros. NaN gives ``nan``, the
+    1e37; beyond, the digits after the 17th are zeros. NaN gives ``nan``, the
     infinities ``inf`` and ``-inf``.
     """
     x = F.abs(value.cast("double"))
