@@ -812,6 +812,11 @@ oracle(
         FROM v_log ORDER BY ts DESC, id DESC LIMIT 25""",
     view_sql("v_log"),
 )
+oracle(
+    "log_recent",
+    f"SELECT {ISO} AS timestamp FROM v_log ORDER BY ts DESC LIMIT 25",
+    view_sql("v_log"),
+)
 oracle(
     "recent_predictions",
     f"""SELECT {ISO} AS timestamp, issue_category

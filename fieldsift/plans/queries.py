@@ -656,6 +656,15 @@ def recent_history(spark, sf_dir):
     )
 
 
+@query
+def log_recent(spark, sf_dir):
+    path = shared_path(spark, "log-recent")
+    rows = prediction_log.log_rows(_log(spark, sf_dir), at=F.col("timestamp"))
+    prediction_log.append_jsonl(rows, path)
+    newest = prediction_log.read_newest(spark, path, 25)
+    return history.history(newest, 25, "input_note").select(_iso("timestamp").alias("timestamp"))
+
+
 @query
 def recent_predictions(spark, sf_dir):
     recent = history.recent_predictions(_log(spark, sf_dir), tie_break="id")

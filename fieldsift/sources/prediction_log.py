@@ -1,12 +1,13 @@
 """The prediction log: an append-only set of files in CSV and in JSON lines.
 
-Files are laid out as ``<path>/batch_id=<id>/log_date=<day>``. A batch is
-replaced as a whole when it is written again, so a repeated write adds nothing,
-and a filter on ``log_date`` skips the other days' files.
+Files are laid out as ``<path>/log_date=<day>/batch_id=<id>``. A batch is
+replaced as a whole when it is written again, so a repeated write adds nothing.
+Days come first, so that a reader of some days lists no other folder.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -32,27 +33,56 @@ def log_rows(predictions: DataFrame, at: Column | None = None) -> DataFrame:
     )
 
 
-def _write(rows: DataFrame, path: str, batch_id: str, file_format: str) -> None:
+def _day_folders(spark: SparkSession, path: str) -> list:
+    """File system paths of the days of a log; none if there is no log."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [status.getPath() for status in fs.listStatus(root)]
+    return [p for p in found if p.getName().startswith("log_date=")]
+
+
+def _drop_batch(spark: SparkSession, path: str, batch_id: str) -> None:
+    """Delete a batch on all days: a repeated write can fall on another day."""
+    for day in _day_folders(spark, path):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(day, f"batch_id={batch_id}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write(rows: DataFrame, path: str, batch_id: str | None, file_format: str) -> None:
+    if batch_id is None:
+        batch_id = uuid.uuid4().hex
+    elif not re.fullmatch(r"[A-Za-z0-9_-]+", batch_id):
+        raise ValueError(f"a batch id has letters, digits, _ and - only: {batch_id!r}")
+    else:
+        _drop_batch(rows.sparkSession, path, batch_id)
+    # Only the folders of this batch are replaced; others may write at the same time.
     writer = (
-        rows.select(*LOG_COLUMNS, F.to_date("timestamp").alias("log_date"))
-        .write.partitionBy("log_date")
+        rows.select(
+            *LOG_COLUMNS,
+            F.to_date("timestamp").alias("log_date"),
+            F.lit(batch_id).alias("batch_id"),
+        )
+        .write.partitionBy("log_date", "batch_id")
         .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("timestampNTZFormat", _ISO_MICROS)
     )
     if file_format == "csv":
         # A missing cell is left empty; empty text is quoted.
         writer = writer.options(**CSV_OPTIONS).option("emptyValue", '""')
-    writer.format(file_format).save(f"{path}/batch_id={batch_id}")
+    writer.format(file_format).save(path)
 
 
 def append_csv(rows: DataFrame, path: str, batch_id: str | None = None) -> None:
     """Add log rows to the CSV log."""
-    _write(rows, path, batch_id or uuid.uuid4().hex, "csv")
+    _write(rows, path, batch_id, "csv")
 
 
 def append_jsonl(rows: DataFrame, path: str, batch_id: str | None = None) -> None:
     """Add log rows to the JSON lines log."""
-    _write(rows, path, batch_id or uuid.uuid4().hex, "json")
+    _write(rows, path, batch_id, "json")
 
 
 def save_predictions(
@@ -63,14 +93,16 @@ def save_predictions(
     The rows are staged first, so both logs hold the same time stamps and the
     predictions are computed once.
     """
-    batch_id = batch_id or uuid.uuid4().hex
     rows = stage(rows.select(*LOG_COLUMNS), "log-rows")
     append_csv(rows, csv_path, batch_id)
     append_jsonl(rows, jsonl_path, batch_id)
     return rows
 
 
-def _read(spark: SparkSession, path: str, file_format: str) -> DataFrame:
+def _read(
+    spark: SparkSession, path: str, file_format: str, folders: list[str] | None = None
+) -> DataFrame:
+    """The log at ``path``, or only the ``folders`` below it."""
     reader = (
         spark.read.schema(LAYOUT_SCHEMA)
         .option("mode", "FAILFAST")
@@ -80,7 +112,7 @@ def _read(spark: SparkSession, path: str, file_format: str) -> DataFrame:
         # Stands for a cell left empty, so that quoted empty text stays text.
         reader = reader.options(**CSV_OPTIONS).option("nullValue", "\0")
     try:
-        return reader.format(file_format).load(path)
+        return reader.format(file_format).option("basePath", path).load(folders or path)
     except AnalysisException as error:
         if path_missing(error):
             return spark.createDataFrame([], LAYOUT_SCHEMA)
@@ -95,3 +127,24 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The CSV log; empty if there is none."""
     return _read(spark, path, "csv")
+
+
+def read_newest(
+    spark: SparkSession, path: str, rows: int, file_format: str = "json"
+) -> DataFrame:
+    """The newest days of a log that hold at least ``rows`` rows, or all of it.
+
+    A log is ``json`` or ``csv``. Days are added in doubling numbers, and each
+    trial counts no more than ``rows`` rows. Rows without a time stamp are the
+    oldest.
+    """
+    folders = [day.toString() for day in _day_folders(spark, path)]
+    dated = [f for f in folders if re.fullmatch(r"log_date=\d+-\d\d-\d\d", f.rsplit("/", 1)[-1])]
+    dated.sort(key=lambda f: f.rsplit("/", 1)[-1], reverse=True)
+    days = 1
+    while days < len(dated):
+        newest = _read(spark, path, file_format, dated[:days])
+        if newest.limit(rows).count() >= rows:
+            return newest
+        days *= 2
+    return _read(spark, path, file_format)

@@ -35,6 +35,37 @@ def test_both_logs_hold_every_character(log, spark, tmp_path):
     assert days == {dt.date(2024, 1, 1), dt.date(2024, 1, 2)}
 
 
+def test_batch_written_again_on_another_day(log, spark, tmp_path):
+    path = str(tmp_path / "csv")
+    L.append_csv(log, path, "kept")
+    L.append_csv(log, path, "again")
+    later = log.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 5 DAYS"))
+    L.append_csv(later, path, "again")
+    found = L.read_csv(spark, path)
+    assert as_set(found.filter("batch_id = 'again'")) == as_set(later)
+    assert as_set(found.filter("batch_id = 'kept'")) == as_set(log)
+    with pytest.raises(ValueError, match="batch id"):
+        L.append_csv(log, path, "a/b")
+
+
+@pytest.mark.parametrize("file_format", ["json", "csv"])
+def test_newest_days_only(spark, tmp_path, file_format):
+    path = str(tmp_path / "log")
+    assert L.read_newest(spark, path, 3, file_format).count() == 0
+    start = dt.datetime(2024, 1, 1)
+    times = [None] + [start + dt.timedelta(days=d // 2) for d in range(20)]
+    rows = spark.createDataFrame([(t, f"n{i}", "c") for i, t in enumerate(times)], L.LOG_SCHEMA)
+    (L.append_csv if file_format == "csv" else L.append_jsonl)(rows, path)
+    whole = L._read(spark, path, file_format)
+    for limit in (1, 3, 5, 20, 21, 30):
+        newest = L.read_newest(spark, path, limit, file_format)
+        wanted = [r.input_note for r in H.history(whole, limit, "input_note").collect()]
+        assert [r.input_note for r in H.history(newest, limit, "input_note").collect()] == wanted
+        if limit <= 5:
+            read = {f.split("log_date=")[1][:10] for f in newest.inputFiles()}
+            assert len(read) == {1: 1, 3: 2, 5: 4}[limit] and max(read) == "2024-01-10"
+
+
 def test_append_and_replace(log, spark, tmp_path):
     path = str(tmp_path / "jsonl")
     L.append_jsonl(log, path)
