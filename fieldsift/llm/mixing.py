@@ -79,7 +79,8 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("below", F.lit(0).cast("long"))
         .withColumn("prefix", F.lit(0).cast("long"))
-        .withColumn("cut", F.lit(None).cast("long"))
+        # A source at its cap has no budget left; no document is taken once more.
+        .withColumn("cut", F.when(F.col("whole") >= most, 0).cast("long"))
     )
     state = stage(state, "mix_0")
     for level in range(1, BITS // STEP + 1):

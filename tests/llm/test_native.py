@@ -112,3 +112,13 @@ def test_warc_reader_refuses_damage():
             list(warc.read_records(io.BytesIO(packer.compress(bad) + packer.flush()).read))
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(good[:50]).read))
+
+
+def test_mix_takes_empty_texts_no_more_than_most(spark):
+    rows = [(i, "w" if i % 8 == 3 else "", "b") for i in range(40)] + [(100 + i, "w " * 50, "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = df.unionByName(df.selectExpr("doc_id + 1000 as doc_id", "text", "'c' as source").filter("text = 'w'"))
+    per = {(r.source, r.doc_id): r["n"] for r in mixing.mix(df).groupBy("source", "doc_id").agg(F.count("*").alias("n")).collect()}
+    assert max(per.values()) == mixing.MOST
+    empty = [n for (source, i), n in per.items() if source == "b" and i % 8 != 3]
+    assert empty == [mixing.MOST] * 35
