@@ -194,7 +194,8 @@ def test_secrets(spark):
     assert counts[2] == (1, 0, 0, 0) and found[2].spans == "assign:0:18"
     assert counts[3] == (0, 1, 0, 0) and counts[4] == (0, 0, 1, 0) and counts[5][0] == 0 and counts[6][0] == 1
     assert counts[7] == (0, 0, 0, 1) and found[7].spans == f"random:4:{4 + len(token)}"
-    assert counts[8] == counts[9] == counts[10] == counts[0] == counts[1] == (0, 0, 0, 0)
+    assert counts[8] == (0, 0, 1, 0)  # 31 characters of 0-9a-f
+    assert counts[9] == counts[10] == counts[0] == counts[1] == (0, 0, 0, 0)
     assert found[2].base_sha256 == hashlib.sha256(b"assign:0:18").hexdigest()
     assert found[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
