@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldsift.llm.bpe import round_trip
 from fieldsift.llm.exact_dedup import drop_copies
 from fieldsift.llm.mixing import mix
-from fieldsift.llm.near_copies import drop_similar
 from fieldsift.llm.shared import stage, table
+from fieldsift.llm.simhash import drop_near_copies
 from fieldsift.llm.toxicity import drop_toxic
 
 
@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five-word Jaccard similarity 0.8 or more."""
-    return drop_similar(docs)
+    """One document of each group that links of at most two fingerprint bits join."""
+    return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe", encoding),
 ]
 
-# The toxicity stage has no SQL form; tests hold run() against a plain version.
+# The toxicity, near-dedup and encoding stages have no SQL form; tests hold
+# run() against a plain version.
 ORACLE_SQL = None
 
 
