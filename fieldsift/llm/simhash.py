@@ -193,8 +193,11 @@ def near_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", buc
 def drop_near_copies(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns.
 
-    Rows without an id stay.
+    Rows without an id stay. Rows with one id are one document; where their
+    texts differ, they stay if one of them leads its group.
     """
-    dropped = near_groups(docs, row_id, text).filter(F.col("doc_id") != F.col("component_id"))
+    groups = near_groups(docs, row_id, text).filter(F.col("doc_id").isNotNull())
+    leads = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("leads"))
     gone = fresh(docs, "gone")
-    return docs.join(dropped.select(F.col("doc_id").alias(gone)).distinct(), col(row_id) == F.col(gone), "left_anti")
+    dropped = leads.filter(~F.col("leads")).select(F.col("doc_id").alias(gone))
+    return docs.join(dropped, col(row_id) == F.col(gone), "left_anti")
