@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldsift.llm.bpe import round_trip
 from fieldsift.llm.exact_dedup import exact_dedup
+from fieldsift.llm.importance import resample
 from fieldsift.llm.mixing import mix_report
 from fieldsift.llm.nearest import nearest
 from fieldsift.llm.passages import passage_groups
@@ -17,6 +18,7 @@ from fieldsift.llm.shared import table
 from fieldsift.llm.simhash import near_groups
 from fieldsift.llm.token_file import read_tokens, write_tokens
 from fieldsift.llm.toxicity import score_toxicity
+from fieldsift.llm.vector_codes import compress
 from fieldsift.llm.warc import archive
 
 
@@ -61,6 +63,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_toxicity": op2_toxicity,
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
+    "op11_importance": op11_importance,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 _OP3 = r"""
@@ -135,4 +147,95 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN l USING (payload_digest, payload_bytes)
 """
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": _OP3, "op4_mixing": _OP4, "op6_warc": _OP6}
+# The CRC-32 of a feature by a table of single-byte steps, made from its polynomial.
+_OP11 = r"""
+WITH z AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+d AS (
+  SELECT row_number() OVER () AS n, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+df AS (
+  SELECT n, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM d),
+bf AS (
+  SELECT unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM b),
+h AS (
+  SELECT feature,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(feature))),
+               lambda i: ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::BIGINT)),
+             lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM (FROM df SELECT feature UNION ALL FROM bf)), z),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN h USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN h USING (feature) GROUP BY bucket),
+g AS (
+  SELECT range AS bucket,
+         floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT count(*) FROM df) + 10000))::DOUBLE
+                         / ((coalesce(s, 0) + 1) * ((SELECT count(*) FROM bf) + 10000))::DOUBLE))::BIGINT AS gain
+  FROM range(10000) LEFT JOIN s ON s.bucket = range LEFT JOIN t ON t.bucket = range),
+w AS (
+  SELECT n, count(*) AS n_features, sum(gain)::BIGINT AS total
+  FROM df JOIN h USING (feature) JOIN g USING (bucket) GROUP BY n),
+c AS (
+  SELECT d.n, doc_id, len(words) AS size, coalesce(n_features, 0) AS n_features,
+         CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+         ('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS u
+  FROM d LEFT JOIN w USING (n)),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((u + 0.5) / 4294967296)))::BIGINT AS score FROM c),
+r AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM e WHERE size >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score,
+       CASE WHEN place <= 25 * able // 100 THEN place END AS rank
+FROM e LEFT JOIN r USING (n)
+"""
+
+
+def _op12() -> str:
+    """Six rounds over (part, vector) and (part, entry) rows."""
+    rounds = []
+    for r in range(7):
+        last = f"c{r - 1}" if r else "c"
+        rounds.append(f"""
+n{r} AS (
+  SELECT row, p.part, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d
+  FROM (SELECT row, p.part, entry, list_sum(list_transform(range(1, 9), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))::BIGINT AS d
+        FROM p JOIN {last} AS c USING (part)) AS p
+  GROUP BY row, p.part)""")
+        if r < 6:
+            # Whole-number division that goes down.
+            sums = ", ".join(
+                f"((sum(p.x[{i}]) - (sum(p.x[{i}]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT" for i in range(1, 9)
+            )
+            rounds.append(f"""
+c{r} AS (
+  SELECT part, entry, coalesce(u.x, c.x) AS x
+  FROM {last} AS c LEFT JOIN (
+    SELECT part, entry, [{sums}] AS x FROM n{r} JOIN p USING (row, part) GROUP BY part, entry) AS u USING (part, entry))""")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+         list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT row, part, x[8 * part + 1 : 8 * part + 8] AS x FROM v, range(8) AS r(part)),
+c AS (SELECT part, row - 1 AS entry, x FROM p WHERE row <= 16),{",".join(rounds)},
+f AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM n6 GROUP BY row),
+b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS digest FROM c5)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+FROM f JOIN v USING (row), b
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": _OP3,
+    "op4_mixing": _OP4,
+    "op6_warc": _OP6,
+    "op11_importance": _OP11,
+    "op12_vector_codes": _op12(),
+}

@@ -1,4 +1,4 @@
-"""Exact dedup, mixing and WARC: queries against SQL, and the odd cases."""
+"""Queries against their SQL; the odd cases of exact dedup, mixing and WARC."""
 
 import duckdb
 import pytest
@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     found = QUERIES[name](spark, SF)
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     wanted = con.execute(ORACLES[name])
     columns = [c[0] for c in wanted.description]
