@@ -12,6 +12,7 @@ from fieldsift.llm.exact_dedup import exact_dedup
 from fieldsift.llm.importance import resample
 from fieldsift.llm.mixing import mix_report
 from fieldsift.llm.nearest import nearest
+from fieldsift.llm.norm_search import top_products
 from fieldsift.llm.passages import passage_groups
 from fieldsift.llm.secret_scan import find_secrets
 from fieldsift.llm.shared import table
@@ -71,6 +72,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_importance": op11_importance,
     "op12_vector_codes": op12_vector_codes,
+    "op13_norm_search": op13_norm_search,
 }
 
 _OP3 = r"""
@@ -232,10 +238,23 @@ FROM f JOIN v USING (row), b
 """
 
 
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, place::INT AS rank, vec_id, score FROM r WHERE place <= 20
+"""
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": _OP3,
     "op4_mixing": _OP4,
     "op6_warc": _OP6,
     "op11_importance": _OP11,
     "op12_vector_codes": _op12(),
+    "op13_norm_search": _OP13,
 }
