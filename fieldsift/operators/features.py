@@ -1,8 +1,10 @@
 """TF-IDF features, computed inside each row.
 
 Tokens, counts, weights and the row norm never leave their row, so neither the
-texts nor the term lists are shuffled. Only the vocabulary fit shuffles, and
-that one sums per term on the map side first.
+texts nor the term lists are shuffled. Only the vocabulary fit shuffles: it drops
+terms of a single note by a filter of bounded size, and sums the rest per term
+on the map side first. Counts by fold give the vocabularies of all folds of a
+cross-validation at once.
 """
 
 from __future__ import annotations
@@ -19,9 +21,13 @@ from pyspark.sql.types import StructField, StructType
 
 from ..fixed_values import MAX_DF, MAX_FEATURES, MIN_DF
 from ..functions.text import bind, is_ascii, strip_accents
+from ..session import stage
+from .gram_filter import keep_met_twice, met_twice
 
 # The vocabulary is held by the driver and shipped to every task.
 LARGEST_VOCABULARY = 100_000
+# Folds that terms are counted by.
+MOST_FOLDS = 100
 # Distinct labels that a classifier may have.
 LARGEST_LABEL_SET = 1_000
 
@@ -51,49 +57,82 @@ def ngrams(text: Column) -> Column:
     return bind(tokens(F.coalesce(text, F.lit(""))), with_pairs)
 
 
-def term_counts(df: DataFrame, text: str = "input") -> DataFrame:
-    """Long table (note_id, term, tf)."""
-    # The rows of one note sit together, so most of the sum is on the map side.
-    return (
-        df.select("note_id", F.explode(ngrams(F.col(text))).alias("term"))
-        .groupBy("note_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def gram_runs(grams: Column) -> Column:
+    """Each distinct gram once, with its number: array<struct<term, tf>> in order.
 
+    Equal grams of the sorted array are next to each other, so their numbers are
+    the lengths of its runs.
+    """
 
-def corpus_frequencies(df: DataFrame, text: str = "input") -> DataFrame:
-    """Notes with the term and occurrences over all notes: (term, df, cf)."""
-    grams = df.select(ngrams(F.col(text)).alias("grams"))
-    # Every note gives its terms with repeats (0) and without (1).
-    both = grams.select(
-        F.posexplode(F.array("grams", F.array_distinct("grams"))).alias("once", "terms")
-    )
-    return (
-        both.select("once", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.sum("once").alias("df"), F.sum(1 - F.col("once")).alias("cf"))
+    def cut(terms: Column) -> Column:
+        size = F.size(terms)
+        starts = F.filter(
+            F.sequence(F.lit(0), size),
+            lambda i: (i == 0) | (i == size) | (F.get(terms, i) != F.get(terms, i - 1)),
+        )
+        return bind(
+            starts,
+            lambda at: F.transform(
+                F.slice(at, F.lit(1), F.size(at) - 1),
+                lambda start, j: F.struct(
+                    F.get(terms, start).alias("term"), (F.get(at, j + 1) - start).alias("tf")
+                ),
+            ),
+        )
+
+    return bind(F.sort_array(grams), cut)
+
+
+def run_grams(runs: str) -> Column:
+    """The grams of their runs, repeats next to each other."""
+    return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["term"], r["tf"])))
+
+
+def gram_table(df: DataFrame, text: str = "input", *keep: str) -> DataFrame:
+    """Staged (keep..., runs): the notes' grams, so that texts are tokenised once."""
+    return stage(df.select(*keep, gram_runs(ngrams(F.col(text))).alias("runs")), "grams")
+
+
+def corpus_frequencies(grams: DataFrame, min_df: int = 1, fold: str | None = None) -> DataFrame:
+    """Notes with the term and occurrences over all notes of a :func:`gram_table`.
+
+    (term, df, cf); with the name of a ``fold`` column of ``N`` values, arrays
+    ``dfs`` and ``cfs`` hold the same by fold. With a ``min_df`` of 2 or more,
+    most terms of one note only are dropped before the shuffle; the rest are
+    still to be tested.
+    """
+    rows = grams.select(*([fold] if fold else []), F.explode("runs").alias("run"))
+    rows = rows.select(*([fold] if fold else []), "run.term", "run.tf")
+    if min_df >= 2:
+        rows = keep_met_twice(rows, "term", met_twice(grams, "runs.term"))
+    if not fold:
+        return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    own = [F.col(fold) == i for i in range(_fold_count(grams, fold))]
+    return rows.groupBy("term").agg(
+        F.array(*[F.count_if(x) for x in own]).alias("dfs"),
+        F.array(*[F.coalesce(F.sum(F.when(x, F.col("tf"))), F.lit(0)) for x in own]).alias("cfs"),
     )
 
 
-def vocabulary(
-    df: DataFrame,
+def _fold_count(grams: DataFrame, fold: str) -> int:
+    """Folds are numbered from 0; each of them adds two sums to a row."""
+    last = grams.agg(F.max(fold)).first()[0]
+    if last is not None and last >= MOST_FOLDS:
+        raise ValueError(f"folds must be numbered from 0 to {MOST_FOLDS - 1}")
+    return 0 if last is None else last + 1
+
+
+def _most_frequent(
+    frequencies: DataFrame,
     n_notes: int,
-    text: str = "input",
     max_features: int = MAX_FEATURES,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
 ) -> DataFrame:
-    """(term_id, term, df, cf, idf) of the most frequent eligible terms.
-
-    A term needs at least ``min_df`` notes and at most the share ``max_df`` of
-    them; of equally frequent terms the alphabetically first wins. Ids follow
-    the alphabet.
-    """
     if not 0 < max_features <= LARGEST_VOCABULARY:
         raise ValueError(f"max_features must be from 1 to {LARGEST_VOCABULARY}")
     top = (
-        corpus_frequencies(df, text)
-        .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_notes))
+        frequencies.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_notes))
         .orderBy(F.desc("cf"), "term")
         .limit(max_features)
     )
@@ -107,6 +146,52 @@ def vocabulary(
     )
 
 
+def vocabulary(
+    grams: DataFrame,
+    max_features: int = MAX_FEATURES,
+    min_df: int = MIN_DF,
+    max_df: float = MAX_DF,
+) -> DataFrame:
+    """(term_id, term, df, cf, idf) of the most frequent eligible terms.
+
+    ``grams`` is a :func:`gram_table`. A term needs at least ``min_df`` notes
+    and at most the share ``max_df`` of them; of equally frequent terms the
+    alphabetically first wins. Ids follow the alphabet.
+    """
+    # The staged files know their number of rows.
+    return _most_frequent(
+        corpus_frequencies(grams, min_df), grams.count(), max_features, min_df, max_df
+    )
+
+
+def fold_vocabularies(
+    grams: DataFrame,
+    fold: str = "fold",
+    max_features: int = MAX_FEATURES,
+    min_df: int = MIN_DF,
+    max_df: float = MAX_DF,
+) -> dict[int, DataFrame]:
+    """For each fold the :func:`vocabulary` of all notes outside it.
+
+    Terms are counted by fold in one pass; what is outside a fold is the sum
+    over all folds less its own.
+    """
+    counted = stage(corpus_frequencies(grams, min_df, fold), "fold_frequencies")
+    sizes = {r[fold]: r["count"] for r in grams.groupBy(fold).count().collect()}
+    n_notes = sum(sizes.values())
+
+    def outside(values: str, i: int) -> Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x) - F.get(values, F.lit(i))
+
+    return {
+        i: _most_frequent(
+            counted.select("term", outside("dfs", i).alias("df"), outside("cfs", i).alias("cf")),
+            n_notes - n, max_features, min_df, max_df,
+        )
+        for i, n in sorted(sizes.items())
+    }
+
+
 @dataclass(frozen=True)
 class TfidfModel:
     """A fitted vocabulary; ``terms`` and ``idf`` are indexed by term id."""
@@ -117,7 +202,12 @@ class TfidfModel:
     @classmethod
     def fit(cls, df: DataFrame, text: str = "input", **options) -> "TfidfModel":
         """Fit on the notes of ``df``; options as for :func:`vocabulary`."""
-        return cls.from_table(vocabulary(df, df.count(), text, **options))
+        return cls.fit_grams(gram_table(df, text), **options)
+
+    @classmethod
+    def fit_grams(cls, grams: DataFrame, **options) -> "TfidfModel":
+        """Fit on a :func:`gram_table`."""
+        return cls.from_table(vocabulary(grams, **options))
 
     @classmethod
     def from_table(cls, table: DataFrame) -> "TfidfModel":
@@ -142,33 +232,54 @@ class TfidfModel:
 
         Unknown terms are left out; a note without known terms has empty arrays.
         """
+        return self._weighted(df, ngrams(F.col(text)))
+
+    def transform_grams(self, grams: DataFrame) -> DataFrame:
+        """The same on a :func:`gram_table`, in place of its ``runs``."""
+        return self._weighted(grams, run_grams("runs")).drop("runs")
+
+    def count_grams(self, df: DataFrame, grams: Column) -> DataFrame:
+        """Add ``term_ids`` and ``tfs``, parallel arrays in id order."""
         if not self.terms:
+            empty = F.array()
             return df.withColumns(
-                {
-                    "term_ids": F.array().cast("array<int>"),
-                    "weights": F.array().cast("array<double>"),
-                }
+                {"term_ids": empty.cast("array<int>"), "tfs": empty.cast("array<double>")}
             )
-        # One literal instead of a call per entry.
-        idf = F.from_json(F.lit(json.dumps(self.idf)), "array<double>")
-        counted = (
-            self._counter.transform(df.withColumn("_grams", ngrams(F.col(text))))
+        return (
+            self._counter.transform(df.withColumn("_grams", grams))
             .withColumn("_sparse", F.unwrap_udt("_counts"))
-            .withColumn(
-                "_raw",
-                F.zip_with(
-                    "_sparse.indices",
-                    "_sparse.values",
-                    lambda i, tf: (F.log(tf) + 1.0) * F.get(idf, i),
-                ),
-            )
+            .withColumns({"term_ids": F.col("_sparse.indices"), "tfs": F.col("_sparse.values")})
+            .drop("_grams", "_counts", "_sparse")
+        )
+
+    def narrow(self, counted: DataFrame, wide: "TfidfModel") -> DataFrame:
+        """Counts by the ids of a ``wide`` vocabulary as counts by this one's.
+
+        Terms that are not in this vocabulary are left out.
+        """
+        place = {term: i for i, term in enumerate(self.terms)}
+        ids = _literal([place.get(term, -1) for term in wide.terms], "array<int>")
+        kept = F.filter(
+            F.arrays_zip("term_ids", "tfs"), lambda cell: F.get(ids, cell["term_ids"]) >= 0
         )
+        return counted.withColumn("_kept", kept).withColumns(
+            {
+                "term_ids": F.transform("_kept", lambda cell: F.get(ids, cell["term_ids"])),
+                "tfs": F.transform("_kept", lambda cell: cell["tfs"]),
+            }
+        ).drop("_kept")
+
+    def weigh(self, counted: DataFrame) -> DataFrame:
+        """``tfs`` become ``weights``: (1 + ln tf) * idf over the row's norm."""
+        idf = _literal(self.idf, "array<double>")
+        raw = F.zip_with("term_ids", "tfs", lambda i, tf: (F.log(tf) + 1.0) * F.get(idf, i))
         norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, w: acc + w * w))
         # Bound first, so the norm is not computed again for every weight.
         weights = bind(norm, lambda n: F.transform("_raw", lambda w: w / n))
-        return counted.withColumns(
-            {"term_ids": F.col("_sparse.indices"), "weights": weights}
-        ).drop("_grams", "_counts", "_sparse", "_raw")
+        return counted.withColumn("_raw", raw).withColumn("weights", weights).drop("_raw", "tfs")
+
+    def _weighted(self, df: DataFrame, grams: Column) -> DataFrame:
+        return self.weigh(self.count_grams(df, grams))
 
     def vector(self) -> Column:
         """The arrays of :meth:`transform` as a sparse ML vector."""
@@ -185,6 +296,17 @@ class TfidfModel:
         return F.from_json(F.to_json(value), schema)["v"]
 
 
+def _literal(values: list, kind: str) -> Column:
+    """An array as one literal instead of a call per entry."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def joint_vocabulary(models: list[TfidfModel]) -> TfidfModel:
+    """All terms of some vocabularies, without weights, for counting."""
+    terms = sorted({term for model in models for term in model.terms})
+    return TfidfModel(terms, [1.0] * len(terms))
+
+
 def weight_rows(features: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Long table (note_id, term_id, weight) of transformed notes.
 
@@ -229,11 +351,15 @@ def decode_label(index: Column, classes: list[str]) -> Column:
 __all__ = [
     "TfidfModel",
     "corpus_frequencies",
+    "fold_vocabularies",
+    "gram_runs",
+    "gram_table",
+    "joint_vocabulary",
     "decode_label",
     "encode_label",
     "label_classes",
     "ngrams",
-    "term_counts",
+    "run_grams",
     "tokens",
     "vocabulary",
     "weight_rows",

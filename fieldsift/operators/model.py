@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
@@ -16,19 +18,76 @@ from ..fixed_values import MIN_LEAF, N_TREES, SEED
 from ..functions.text import clean_note
 from ..session import stage
 from .dataset import class_weights
-from .features import TfidfModel, decode_label, encode_label, label_classes
+from .features import (
+    TfidfModel,
+    decode_label,
+    encode_label,
+    fold_vocabularies,
+    gram_table,
+    joint_vocabulary,
+    label_classes,
+    run_grams,
+)
 from .metrics import weighted_f1_by
 
 # The greatest depth that Spark allows; leaves end at MIN_LEAF notes anyway.
 TREE_DEPTH = 30
 # Larger groups of nodes are split in one pass over the features.
 NODE_MEMORY_MB = 1024
+# Forests of a cross-validation that are fitted at a time.
+PARALLEL_FITS = 5
 
 
 def _model_text(column: str, clean: bool) -> Column:
     return clean_note(F.col(column)) if clean else F.col(column)
 
 
+def labelled_features(weighted: DataFrame, tfidf: TfidfModel, classes: list[str]) -> DataFrame:
+    """(note_id, label, weight, features) of weighted notes with their ``output``."""
+    # One row per class is broadcast; the number of classes is checked.
+    weights = F.broadcast(class_weights(weighted).select("output", "weight"))
+    return weighted.join(weights, "output").select(
+        "note_id",
+        encode_label(F.col("output"), classes).cast("double").alias("label"),
+        "weight",
+        tfidf.vector().alias("features"),
+    )
+
+
+def fit_forest(
+    features: DataFrame, n_trees: int = N_TREES, tree_depth: int = TREE_DEPTH, seed: int = SEED
+) -> RandomForestClassificationModel:
+    """Train on staged :func:`labelled_features`, on all cores.
+
+    The numbers of a note, not its text, are dealt out by its id: the forest
+    passes over them once per group of nodes, a core for each partition.
+    """
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    return RandomForestClassifier(
+        numTrees=n_trees,
+        maxDepth=tree_depth,
+        minInstancesPerNode=MIN_LEAF,
+        maxMemoryInMB=NODE_MEMORY_MB,
+        featureSubsetStrategy="sqrt",
+        weightCol="weight",
+        seed=seed,
+    ).fit(features.repartition(cores, "note_id"))
+
+
+def answers(
+    forest: RandomForestClassificationModel, rows: DataFrame, classes: list[str], *keep: str
+) -> DataFrame:
+    """(keep..., issue_category, confidence) of rows with ``_features``."""
+    scored = (
+        forest.setFeaturesCol("_features")
+        .transform(rows)
+        .withColumn("_p", vector_to_array("probability"))
+        .withColumn("confidence", F.array_max("_p"))
+    )
+    best = F.array_position("_p", F.col("confidence")) - 1
+    return scored.select(*keep, decode_label(best, classes).alias("issue_category"), "confidence")
+
+
 @dataclass(frozen=True)
 class NoteClassifier:
     """A fitted vocabulary and forest; ``clean`` says whether notes are cleaned first."""
@@ -53,30 +112,11 @@ class NoteClassifier:
             "note_id", "output", _model_text("input", clean).alias("text")
         )
         classes = label_classes(train)
-        tfidf = TfidfModel.fit(notes, "text", **vocabulary_options)
-        # One row per class is broadcast; the number of classes is checked.
-        weighted = notes.join(
-            F.broadcast(class_weights(notes).select("output", "weight")), "output"
-        )
-        # The forest passes over its input once per level: keep the features.
-        features = stage(
-            tfidf.transform(weighted, "text").select(
-                "note_id",
-                encode_label(F.col("output"), classes).cast("double").alias("label"),
-                "weight",
-                tfidf.vector().alias("features"),
-            ),
-            "features",
-        )
-        forest = RandomForestClassifier(
-            numTrees=n_trees,
-            maxDepth=tree_depth,
-            minInstancesPerNode=MIN_LEAF,
-            maxMemoryInMB=NODE_MEMORY_MB,
-            featureSubsetStrategy="sqrt",
-            weightCol="weight",
-            seed=seed,
-        ).fit(features)
+        # Notes are cleaned and cut into terms once, for both steps.
+        grams = gram_table(notes, "text", "note_id", "output")
+        tfidf = TfidfModel.fit_grams(grams, **vocabulary_options)
+        features = labelled_features(tfidf.transform_grams(grams), tfidf, classes)
+        forest = fit_forest(stage(features, "features"), n_trees, tree_depth, seed)
         return cls(tfidf, forest, classes, clean)
 
     def predict(self, notes: DataFrame, text: str = "input") -> DataFrame:
@@ -84,18 +124,7 @@ class NoteClassifier:
         prepared = self.tfidf.transform(
             notes.withColumn("_text", _model_text(text, self.clean)), "_text"
         ).withColumn("_features", self.tfidf.vector())
-        scored = (
-            self.forest.setFeaturesCol("_features")
-            .transform(prepared)
-            .withColumn("_p", vector_to_array("probability"))
-            .withColumn("confidence", F.array_max("_p"))
-        )
-        best = F.array_position("_p", F.col("confidence")) - 1
-        return scored.select(
-            *notes.columns,
-            decode_label(best, self.classes).alias("issue_category"),
-            "confidence",
-        )
+        return answers(self.forest, prepared, self.classes, *notes.columns)
 
 
 def evaluate(model: NoteClassifier, test: DataFrame) -> DataFrame:
@@ -108,23 +137,53 @@ def evaluate(model: NoteClassifier, test: DataFrame) -> DataFrame:
     )
 
 
-def cross_validate(folded: DataFrame, clean: bool = True, **fit_options) -> DataFrame:
+def cross_validate(
+    folded: DataFrame,
+    clean: bool = True,
+    n_trees: int = N_TREES,
+    tree_depth: int = TREE_DEPTH,
+    seed: int = SEED,
+    **vocabulary_options,
+) -> DataFrame:
     """Weighted F1 per fold: (fold, f1_weighted).
 
-    ``folded`` has (note_id, input, output, fold). Vocabulary and forest are
-    fitted anew on the other folds each time.
+    ``folded`` has (note_id, input, output, fold), folds numbered from 0; notes
+    without a fold take no part. Each fold is scored by a vocabulary and a
+    forest of all others. Notes are cleaned and cut into terms once: the
+    vocabularies come from one count by fold, and each note is then kept as its
+    counts of all their terms. The forests are fitted side by side.
     """
-    # Notes are cleaned once, not once per fold.
-    text = _model_text("input", clean).alias("input")
-    folded = stage(folded.select("note_id", text, "output", "fold"), "folds")
-    folds = [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
+    notes = folded.where(F.col("fold").isNotNull()).select(
+        "note_id", "output", "fold", _model_text("input", clean).alias("text")
+    )
+    grams = gram_table(notes, "text", "note_id", "output", "fold")
+    models = {
+        fold: TfidfModel.from_table(table)
+        for fold, table in fold_vocabularies(grams, "fold", **vocabulary_options).items()
+    }
+    classes = label_classes(grams)
+    joint = joint_vocabulary(list(models.values()))
+    counted = joint.count_grams(grams, run_grams("runs")).drop("runs")
+    counted = stage(counted, "fold_counts")
+
+    def weighted(fold: int, rows: DataFrame) -> DataFrame:
+        return models[fold].weigh(models[fold].narrow(rows, joint))
+
+    def fit(fold: int) -> RandomForestClassificationModel:
+        train = weighted(fold, counted.where(F.col("fold") != fold))
+        features = stage(labelled_features(train, models[fold], classes), "features")
+        return fit_forest(features, n_trees, tree_depth, seed)
+
+    target = inheritable_thread_target(folded.sparkSession)(fit)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        forests = dict(zip(models, pool.map(target, models), strict=True))
     scored = None
-    for fold in folds:
-        model = NoteClassifier.fit(
-            folded.where(F.col("fold") != fold), clean=False, **fit_options
-        )
-        part = evaluate(model, folded.where(F.col("fold") == fold)).withColumn(
-            "fold", F.lit(fold)
-        )
+    for fold, forest in forests.items():
+        rows = weighted(fold, counted.where(F.col("fold") == fold))
+        part = answers(
+            forest, rows.withColumn("_features", models[fold].vector()), classes, "fold", "output"
+        ).select("fold", F.col("output").alias("true"), F.col("issue_category").alias("predicted"))
         scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
+        return folded.sparkSession.createDataFrame([], "fold int, f1_weighted double")
     return weighted_f1_by(scored, "fold")

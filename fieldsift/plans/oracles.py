@@ -200,23 +200,25 @@ oracle(
     "SELECT split, output, count(*) AS n FROM prepared GROUP BY split, output",
     SPLIT,
 )
-oracle(
-    "stratified_folds",
-    f"""SELECT note_id, output, CAST(fold AS INTEGER) AS fold FROM (
-            SELECT note_id, output, row_number() OVER (
-                PARTITION BY output ORDER BY {SHUFFLED}) AS r FROM valid)
-        JOIN ends USING (output) WHERE r <= upto AND r > upto - dealt""",
-    VALID,
-    """sizes AS (SELECT output, count(*) AS n, min(note_id) AS first_id
-        FROM valid GROUP BY output),
+
+
+def folds(notes: str) -> str:
+    return f"""sizes AS (SELECT output, count(*) AS n, min(note_id) AS first_id
+        FROM {notes} GROUP BY output),
     placed AS (SELECT output, n, coalesce(sum(n) OVER (ORDER BY first_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sizes),
     dealt AS (SELECT output, fold, count(*) AS dealt FROM (
         SELECT output, unnest(generate_series(start::BIGINT, (start + n - 1)::BIGINT)) % 5
             AS fold FROM placed) GROUP BY output, fold),
     ends AS (SELECT output, fold, dealt,
-        sum(dealt) OVER (PARTITION BY output ORDER BY fold) AS upto FROM dealt)""",
-)
+        sum(dealt) OVER (PARTITION BY output ORDER BY fold) AS upto FROM dealt),
+    folded AS (SELECT note_id, output, input, CAST(fold AS INTEGER) AS fold FROM (
+            SELECT note_id, output, input, row_number() OVER (
+                PARTITION BY output ORDER BY {SHUFFLED}) AS r FROM {notes})
+        JOIN ends USING (output) WHERE r <= upto AND r > upto - dealt)"""
+
+
+oracle("stratified_folds", "SELECT note_id, output, fold FROM folded", VALID, folds("valid"))
 BY_LENGTH = """ranked AS (
         SELECT note_id, input, output, count(*) OVER (PARTITION BY output) AS n,
                row_number() OVER (PARTITION BY output ORDER BY length(input), note_id) AS r
@@ -727,7 +729,7 @@ oracle(
 )
 oracle(
     "cv_train",
-    """SELECT fold, count(*) AS n, true AS in_range FROM (
+    """SELECT fold, count(*) AS n, true AS in_range, true AS flagged FROM (
         SELECT CAST(generate_series AS INTEGER) % 5 AS fold
         FROM generate_series(0, (SELECT count(*) - 1 FROM dedup))) GROUP BY fold""",
     DEDUP,
@@ -790,6 +792,26 @@ oracle(
     grams("prepared"),
     fitted(_train),
 )
+# The vocabulary of all notes outside each fold, fitted on those notes.
+oracle(
+    "cv_vocabularies",
+    """SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY term) - 1 AS term_id, term, df, cf,
+        round(ln((n + 1) / (df + 1)) + 1, 6) AS idf
+        FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY cf DESC, term) AS place
+              FROM outside WHERE df >= 2 AND df <= CAST(0.95 AS DOUBLE) * n)
+        WHERE place <= 5000""",
+    DEDUP,
+    folds("dedup"),
+    grams("folded"),
+    """occurrences AS (SELECT note_id, unnest(grams) AS term FROM grams),
+    terms AS (SELECT note_id, term, count(*) AS tf FROM occurrences GROUP BY note_id, term),
+    left_out AS (SELECT DISTINCT fold AS out FROM folded),
+    outside_size AS (SELECT out, count(*) AS n FROM folded JOIN left_out ON fold <> out GROUP BY out),
+    outside AS (
+        SELECT s.out AS fold, term, count(*) AS df, sum(tf)::BIGINT AS cf, any_value(n) AS n
+        FROM terms JOIN folded USING (note_id) JOIN outside_size AS s ON fold <> s.out
+        GROUP BY s.out, term)""",
+)
 oracle(
     "label_encode",
     """SELECT note_id, output, dense_rank() OVER (ORDER BY output) - 1 AS label,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import CATEGORIES, CATEGORY_KEYWORDS, PRIMARY_METHOD
+from ..fixed_values import CATEGORIES, CATEGORY_KEYWORDS, LEAKAGE_F1, PRIMARY_METHOD
 from ..functions import labels, prompts, text
 from ..operators import (
     chat,
@@ -542,17 +542,17 @@ def ngrams(spark, sf_dir):
 
 @query
 def tfidf_vocab(spark, sf_dir):
-    valid = _valid(spark, sf_dir)
-    return features.vocabulary(valid, valid.count()).withColumns(
+    grams = features.gram_table(_valid(spark, sf_dir))
+    return features.vocabulary(grams).withColumns(
         {"idf": F.round("idf", 6), "term_id": F.col("term_id").cast("bigint")}
     )
 
 
 @query
 def tfidf(spark, sf_dir):
-    valid = _valid(spark, sf_dir)
-    fitted = features.TfidfModel.fit(valid)
-    return features.weight_rows(fitted.transform(valid)).select(
+    grams = features.gram_table(_valid(spark, sf_dir), "input", "note_id")
+    fitted = features.TfidfModel.fit_grams(grams)
+    return features.weight_rows(fitted.transform_grams(grams)).select(
         "note_id",
         F.col("term_id").cast("bigint").alias("term_id"),
         F.round("weight", 6).alias("weight"),
@@ -635,9 +635,33 @@ def cv_train(spark, sf_dir):
         sampling.stratified_folds(dataset.dedup_first(_valid(spark, sf_dir))), "folded"
     )
     sizes = folded.groupBy("fold").agg(F.count("*").alias("n"))
-    scores = model.cross_validate(folded)
+    scores = stage(model.cross_validate(folded), "fold_scores")
+    # One row; the mean over the folds and what is made of it.
+    summary = metrics.cv_summary(scores)
+    mean, flag = (summary.select(c).scalar() for c in ("cv_f1_mean", "leakage_risk"))
     return sizes.join(scores, "fold").select(
-        "fold", "n", F.col("f1_weighted").between(0.0, 1.0).alias("in_range")
+        "fold",
+        "n",
+        F.col("f1_weighted").between(0.0, 1.0).alias("in_range"),
+        (flag == (mean > LEAKAGE_F1)).alias("flagged"),
+    )
+
+
+@query
+def cv_vocabularies(spark, sf_dir):
+    folded = sampling.stratified_folds(dataset.dedup_first(_valid(spark, sf_dir)))
+    grams = features.gram_table(folded, "input", "fold")
+    parts = [
+        table.withColumn("fold", F.lit(fold))
+        for fold, table in features.fold_vocabularies(grams).items()
+    ]
+    return metrics.union_methods(dict(enumerate(parts))).select(
+        "fold",
+        F.col("term_id").cast("bigint").alias("term_id"),
+        "term",
+        "df",
+        "cf",
+        F.round("idf", 6).alias("idf"),
     )
 
 

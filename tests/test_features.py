@@ -1,12 +1,16 @@
 import math
+import random
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldsift.fixed_values import CATEGORIES, CATEGORY_KEYWORDS
 from fieldsift.operators import features as X
+from fieldsift.operators import gram_filter
 from fieldsift.operators import model as M
 from fieldsift.operators import scoring as S
 from fieldsift.plans.train import cross_validation, train_and_evaluate
@@ -58,9 +62,84 @@ def test_ngrams(apply):
     assert apply(X.ngrams, NOTES) == [grams(t) for t in NOTES]
 
 
-def test_term_counts(notes):
-    found = {(r.note_id, r.term): r.tf for r in X.term_counts(notes).collect()}
-    assert found == {(i, t): grams(n).count(t) for i, n in enumerate(NOTES) for t in grams(n)}
+def test_gram_table(notes):
+    table = X.gram_table(notes, "input", "note_id")
+    found = {r.note_id: [tuple(x) for x in r.runs] for r in table.collect()}
+    assert found == {i: sorted((t, grams(n).count(t)) for t in set(grams(n))) for i, n in enumerate(NOTES)}
+    back = table.select("note_id", X.run_grams("runs").alias("g")).collect()
+    assert {r.note_id: r.g for r in back} == {i: sorted(grams(n)) for i, n in enumerate(NOTES)}
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(120)]
+    rows = [(i, t, "ab"[i % 2], i % 3) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "note_id long, input string, output string, fold int").repartition(6)
+
+
+def test_filter_keeps_all_terms_of_two_notes(corpus):
+    table = X.gram_table(corpus, "input")
+    every = {r.term: (r.df, r.cf) for r in X.corpus_frequencies(table).collect()}
+    kept = {r.term: (r.df, r.cf) for r in X.corpus_frequencies(table, 2).collect()}
+    twice = {t: n for t, n in every.items() if n[0] >= 2}
+    assert twice.items() <= kept.items() <= every.items()
+    assert len(kept) < len(twice) + 0.01 * len(every) and len(every) > 2 * len(kept)
+
+
+def test_tables_add_up_to_two():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 3, (7, gram_filter.CHUNK)) * (rng.random((7, gram_filter.CHUNK)) < 0.2)
+    pack = lambda bits: np.packbits(bits, bitorder="little").tobytes()
+
+    def table(rows):
+        return pa.table(
+            {
+                "chunk": pa.array([3] * len(rows), pa.int32()),
+                "part": pa.array([0] * len(rows), pa.int32()),
+                "once": [pack(r >= 1) for r in rows],
+                "twice": [pack(r >= 2) for r in rows],
+            }
+        )
+
+    whole = gram_filter._added(table(counts))
+    parts = pa.concat_tables([gram_filter._added(table(counts[i : i + 3])) for i in (0, 3, 6)])
+    assert gram_filter._added(parts).equals(whole)
+    assert whole["twice"][0].as_py() == pack(counts.sum(axis=0) >= 2)
+
+
+def test_terms_are_dropped_before_the_shuffle(corpus):
+    table = X.gram_table(corpus, "input")
+    found = X.corpus_frequencies(table, 2)._jdf.queryExecution().executedPlan().toString()
+    assert found.count("Exchange hashpartitioning") == 1
+    above, _, below = found.partition("Exchange hashpartitioning")
+    assert "BroadcastHashJoin" in below and "BroadcastHashJoin" not in above
+
+
+@pytest.mark.parametrize("options", [{}, {"max_features": 20}, {"min_df": 1, "max_df": 0.05}])
+def test_fold_vocabularies_equal_separate_fits(corpus, options):
+    table = X.gram_table(corpus, "input", "note_id", "fold")
+    found = X.fold_vocabularies(table, **options)
+    assert sorted(found) == [0, 1, 2]
+    for fold, vocabulary in found.items():
+        alone = X.vocabulary(X.gram_table(corpus.where(F.col("fold") != fold)), **options)
+        assert sorted(vocabulary.collect()) == sorted(alone.collect())
+
+
+def test_narrowed_counts_equal_counts_of_the_narrow_vocabulary(corpus):
+    table = X.gram_table(corpus, "input", "note_id", "fold")
+    models = [X.TfidfModel.from_table(v) for v in X.fold_vocabularies(table, max_features=30).values()]
+    joint = X.joint_vocabulary(models)
+    counted = joint.count_grams(table, X.run_grams("runs"))
+    for m in models:
+        narrow = {r.note_id: (r.term_ids, r.weights) for r in m.weigh(m.narrow(counted, joint)).collect()}
+        assert narrow == {r.note_id: (r.term_ids, r.weights) for r in m.transform(corpus).collect()}
+
+
+def test_folds_are_numbered(corpus):
+    with pytest.raises(ValueError, match="folds"):
+        X.corpus_frequencies(X.gram_table(corpus.withColumn("fold", F.lit(1000)), "input", "fold"), 1, "fold")
 
 
 @pytest.mark.parametrize("options", [{}, {"max_features": 3}, {"min_df": 1, "max_df": 0.3}])
@@ -137,6 +216,18 @@ def test_missing_model(spark, tmp_path):
         load_classifier(spark, str(tmp_path / "none"))
 
 
+def test_cross_validation_tokenises_once(labelled, monkeypatch):
+    calls = []
+    ngrams = X.ngrams
+    monkeypatch.setattr(X, "ngrams", lambda text: calls.append(text) or ngrams(text))
+    folded = labelled.withColumn("fold", (F.col("note_id") % 3).cast("int"))
+    lost = folded.withColumn("fold", F.lit(None).cast("int")).withColumn("input", F.lit("other words"))
+    scores = M.cross_validate(folded.unionByName(lost), n_trees=5, tree_depth=5).collect()
+    assert sorted(r.fold for r in scores) == [0, 1, 2] and all(r.f1_weighted > 0.6 for r in scores)
+    assert len(calls) == 1
+    assert M.cross_validate(folded.limit(0)).count() == 0
+
+
 def test_cross_validation(labelled):
     summary = cross_validation(labelled.drop("split"), n_trees=5, tree_depth=5).first()
     assert 0.6 < summary.cv_f1_mean <= 1 and summary.cv_f1_std >= 0
