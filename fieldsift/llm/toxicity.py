@@ -116,6 +116,9 @@ class Grammar:
         z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], features, strict=True))
         return 1.0 / (1.0 + math.exp(-min(max(z, -500.0), 500.0)))
 
+# Texts whose stems are held at a time.
+TEXTS = 256
+
 
 def held_out(row_id: F.Column) -> F.Column:
     """Rows that no label is learned from; rows without an id are among them."""
@@ -142,8 +145,9 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class by stem; the empty stem counts them all.
 
     ``kin`` parts near copies, which count once: the least hash of five words.
+    A text has many stems, so a few hundred texts are gathered at a time.
     """
-    for batch in batches:
+    for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
         rows: dict[tuple[str, int], list[int]] = {}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = _word((text or "").lower())
