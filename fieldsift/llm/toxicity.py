@@ -30,6 +30,8 @@ from fieldsift.llm.shared import col, fresh, stage
 
 # Labelled rows, by least hash of the id, that a model is fitted on.
 SAMPLE = 20_000
+# Texts whose stems are held at a time.
+TEXTS = 256
 # Beginnings of words that can be stems; longer words are stems as a whole too.
 STEMS = range(3, 9)
 LONGEST = 32
@@ -116,9 +118,6 @@ class Grammar:
         z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], features, strict=True))
         return 1.0 / (1.0 + math.exp(-min(max(z, -500.0), 500.0)))
 
-# Texts whose stems are held at a time.
-TEXTS = 256
-
 
 def held_out(row_id: F.Column) -> F.Column:
     """Rows that no label is learned from; rows without an id are among them."""
