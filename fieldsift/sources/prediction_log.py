@@ -1,12 +1,16 @@
 """The prediction log: an append-only set of files in CSV and in JSON lines.
 
-Files are laid out as ``<path>/log_date=<day>/batch_id=<id>``. A batch is
-replaced as a whole when it is written again, so a repeated write adds nothing.
-Days come first, so that a reader of some days lists no other folder.
+Files are laid out as ``<path>/log_date=<day>/batch_id=<id>/attempt=<id>``.
+Readers take what a manifest names, one small file per batch that is written
+after all of the batch's files, for both logs together. So a write that fails
+half-way changes neither log, and a batch that is written again is replaced as a
+whole, by a manifest with a larger number.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import uuid
 
@@ -15,12 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
+from . import files
 from .notes import CSV_OPTIONS, path_missing
 
 LOG_COLUMNS = ["timestamp", "input_note", "issue_category"]
 LOG_SCHEMA = "timestamp timestamp_ntz, input_note string, issue_category string"
 LAYOUT_SCHEMA = LOG_SCHEMA + ", batch_id string, log_date date"
 
+# Folders of the manifests, and of notes where a log's manifests lie.
+MANIFESTS, LINKS = "_manifests", "_linked"
+MANIFEST_SCHEMA = "batch_id string, attempt string, days map<string, array<string>>"
+
 _ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _ISO = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
@@ -33,40 +42,17 @@ def log_rows(predictions: DataFrame, at: Column | None = None) -> DataFrame:
     )
 
 
-def _day_folders(spark: SparkSession, path: str) -> list:
-    """File system paths of the days of a log; none if there is no log."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = [status.getPath() for status in fs.listStatus(root)]
-    return [p for p in found if p.getName().startswith("log_date=")]
-
-
-def _drop_batch(spark: SparkSession, path: str, batch_id: str) -> None:
-    """Delete a batch on all days: a repeated write can fall on another day."""
-    for day in _day_folders(spark, path):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(day, f"batch_id={batch_id}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def _write(rows: DataFrame, path: str, batch_id: str | None, file_format: str) -> None:
-    if batch_id is None:
-        batch_id = uuid.uuid4().hex
-    elif not re.fullmatch(r"[A-Za-z0-9_-]+", batch_id):
-        raise ValueError(f"a batch id has letters, digits, _ and - only: {batch_id!r}")
-    else:
-        _drop_batch(rows.sparkSession, path, batch_id)
-    # Only the folders of this batch are replaced; others may write at the same time.
+def _write(rows: DataFrame, path: str, batch_id: str, attempt: str, file_format: str) -> None:
+    """Write rows where no reader looks before they are published."""
     writer = (
         rows.select(
             *LOG_COLUMNS,
             F.to_date("timestamp").alias("log_date"),
             F.lit(batch_id).alias("batch_id"),
+            F.lit(attempt).alias("attempt"),
         )
-        .write.partitionBy("log_date", "batch_id")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.partitionBy("log_date", "batch_id", "attempt")
+        .mode("append")
         .option("timestampNTZFormat", _ISO_MICROS)
     )
     if file_format == "csv":
@@ -75,34 +61,94 @@ def _write(rows: DataFrame, path: str, batch_id: str | None, file_format: str) -
     writer.format(file_format).save(path)
 
 
+def _days(spark: SparkSession, path: str, batch_id: str, attempt: str) -> list[str]:
+    """Names of the days that an attempt has written to."""
+    fs, root = files.hadoop_path(spark, path)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(root, f"log_date=*/batch_id={batch_id}/attempt={attempt}")
+    found = fs.globStatus(pattern) or []
+    return sorted(status.getPath().getParent().getParent().getName() for status in found)
+
+
+def _save(
+    rows: DataFrame, paths: dict[str, str], batch_id: str | None
+) -> None:
+    """Write rows in each format, then publish all of them by one manifest.
+
+    The manifest lies in the last path; the others hold a note of that folder.
+    """
+    spark = rows.sparkSession
+    if batch_id is None:
+        batch_id = uuid.uuid4().hex
+    elif not re.fullmatch(r"[A-Za-z0-9_-]+", batch_id):
+        raise ValueError(f"a batch id has letters, digits, _ and - only: {batch_id!r}")
+    attempt = uuid.uuid4().hex
+    home = files.full_path(spark, list(paths.values())[-1])
+    for path in paths.values():
+        if files.full_path(spark, path) != home:
+            name = hashlib.sha256(home.encode()).hexdigest()
+            files.write_new(spark, f"{path}/{LINKS}", name, home)
+    for file_format, path in paths.items():
+        _write(rows, path, batch_id, attempt, file_format)
+    days = {
+        files.full_path(spark, path): _days(spark, path, batch_id, attempt) for path in paths.values()
+    }
+    manifest = {"batch_id": batch_id, "attempt": attempt, "days": days}
+    files.publish(spark, f"{home}/{MANIFESTS}", batch_id, json.dumps(manifest))
+
+
 def append_csv(rows: DataFrame, path: str, batch_id: str | None = None) -> None:
     """Add log rows to the CSV log."""
-    _write(rows, path, batch_id, "csv")
+    _save(rows, {"csv": path}, batch_id)
 
 
 def append_jsonl(rows: DataFrame, path: str, batch_id: str | None = None) -> None:
     """Add log rows to the JSON lines log."""
-    _write(rows, path, batch_id, "json")
+    _save(rows, {"json": path}, batch_id)
 
 
 def save_predictions(
     rows: DataFrame, csv_path: str, jsonl_path: str, batch_id: str | None = None
 ) -> DataFrame:
-    """Add log rows to both logs and return them.
+    """Add log rows to both logs, to both or to none, and return them.
 
     The rows are staged first, so both logs hold the same time stamps and the
-    predictions are computed once.
+    predictions are computed once. One manifest publishes them in both.
     """
     rows = stage(rows.select(*LOG_COLUMNS), "log-rows")
-    append_csv(rows, csv_path, batch_id)
-    append_jsonl(rows, jsonl_path, batch_id)
+    _save(rows, {"csv": csv_path, "json": jsonl_path}, batch_id)
     return rows
 
 
+def _published(spark: SparkSession, path: str) -> list[tuple[str, str]] | None:
+    """(day, folder) of what is published in a log; None for a log without manifests.
+
+    A batch that has been published again counts in its newest version alone.
+    """
+    own = files.full_path(spark, path)
+    homes = [own, *(files.read_text(spark, f"{own}/{LINKS}/{n}") for n in files.names(spark, f"{own}/{LINKS}"))]
+    found: dict[tuple[str, str], int] = {}
+    for home in homes:
+        for batch, number in files.newest(spark, f"{home}/{MANIFESTS}").items():
+            found[home, batch] = number
+    if not found:
+        return None
+    paths = [files.version_path(f"{home}/{MANIFESTS}", batch, n) for (home, batch), n in found.items()]
+    rows = spark.read.schema(MANIFEST_SCHEMA).json(paths).select("batch_id", "attempt", F.col("days")[own].alias("days"))
+    return [
+        (day, f"{own}/{day}/batch_id={r['batch_id']}/attempt={r['attempt']}")
+        for r in rows.collect()
+        for day in r["days"] or []
+    ]
+
+
 def _read(
     spark: SparkSession, path: str, file_format: str, folders: list[str] | None = None
 ) -> DataFrame:
-    """The log at ``path``, or only the ``folders`` below it."""
+    """The published rows of the log at ``path``, or only the ``folders`` below it."""
+    if folders is None and (published := _published(spark, path)) is not None:
+        folders = [folder for _, folder in published]
+    if folders == []:
+        return spark.createDataFrame([], LAYOUT_SCHEMA)
     reader = (
         spark.read.schema(LAYOUT_SCHEMA)
         .option("mode", "FAILFAST")
@@ -112,11 +158,12 @@ def _read(
         # Stands for a cell left empty, so that quoted empty text stays text.
         reader = reader.options(**CSV_OPTIONS).option("nullValue", "\0")
     try:
-        return reader.format(file_format).option("basePath", path).load(folders or path)
+        found = reader.format(file_format).option("basePath", path).load(folders or path)
     except AnalysisException as error:
         if path_missing(error):
             return spark.createDataFrame([], LAYOUT_SCHEMA)
         raise
+    return found.select(*LOG_COLUMNS, "batch_id", "log_date")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -138,13 +185,37 @@ def read_newest(
     trial counts no more than ``rows`` rows. Rows without a time stamp are the
     oldest.
     """
-    folders = [day.toString() for day in _day_folders(spark, path)]
-    dated = [f for f in folders if re.fullmatch(r"log_date=\d+-\d\d-\d\d", f.rsplit("/", 1)[-1])]
-    dated.sort(key=lambda f: f.rsplit("/", 1)[-1], reverse=True)
+    published = _published(spark, path)
+    if published is None:
+        published = [(n, f"{path}/{n}") for n in files.names(spark, path) if n.startswith("log_date=")]
+    by_day: dict[str, list[str]] = {}
+    for day, folder in published:
+        if re.fullmatch(r"log_date=\d+-\d\d-\d\d", day):
+            by_day.setdefault(day, []).append(folder)
+    newest_first = sorted(by_day, reverse=True)
     days = 1
-    while days < len(dated):
-        newest = _read(spark, path, file_format, dated[:days])
+    while days < len(newest_first):
+        folders = [folder for day in newest_first[:days] for folder in by_day[day]]
+        newest = _read(spark, path, file_format, folders)
         if newest.limit(rows).count() >= rows:
             return newest
         days *= 2
     return _read(spark, path, file_format)
+
+
+def drop_unpublished(spark: SparkSession, path: str) -> int:
+    """Delete what failed or replaced writes left in a log; the folders dropped.
+
+    To be run while nobody writes to or reads from the log.
+    """
+    published = _published(spark, path)
+    if published is None:
+        return 0
+    kept = {folder for _, folder in published}
+    fs, root = files.hadoop_path(spark, path)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(root, "log_date=*/batch_id=*/attempt=*")
+    stale = [s.getPath().toString() for s in fs.globStatus(pattern) or []]
+    stale = [folder for folder in stale if folder not in kept]
+    for folder in stale:
+        files.delete(spark, folder)
+    return len(stale)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldsift.operators import history as H
 from fieldsift.plans.predict import predict_notes, rejected_input
+from fieldsift.sources import files
 from fieldsift.sources import notes as N
 from fieldsift.sources import prediction_log as L
 from fieldsift.streaming.classify import classify_stream, count_stream
@@ -91,6 +92,64 @@ def test_blank_lines_are_skipped_and_broken_ones_fail(spark, tmp_path):
         L.read_jsonl(spark, str(tmp_path)).collect()
 
 
+def both_logs(spark, csv, jsonl):
+    return as_set(L.read_csv(spark, csv)), as_set(L.read_jsonl(spark, jsonl))
+
+
+@pytest.mark.parametrize("fault", ["csv", "json", "manifest"])
+def test_a_write_that_fails_changes_neither_log(log, spark, tmp_path, monkeypatch, fault):
+    csv, jsonl = str(tmp_path / "csv"), str(tmp_path / "jsonl")
+    old, new = log.limit(3), log.subtract(log.limit(3))
+    L.save_predictions(old, csv, jsonl, "first")
+    L.save_predictions(old, csv, jsonl, "again")
+    write = L._write
+
+    def broken(rows, path, batch_id, attempt, file_format):
+        write(rows, path, batch_id, attempt, file_format)
+        if file_format == fault:
+            raise OSError("lost")
+
+    def unpublished(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(L, "_write", broken)
+        if fault == "manifest":
+            patch.setattr(L.files, "publish", unpublished)
+        for batch in ("second", "again"):
+            with pytest.raises(OSError, match="lost"):
+                L.save_predictions(new, csv, jsonl, batch)
+    before = as_set(old)
+    assert both_logs(spark, csv, jsonl) == (before, before)
+    assert L.read_csv(spark, csv).count() == L.read_jsonl(spark, jsonl).count() == 6
+    assert L.read_newest(spark, jsonl, 100).count() == 6
+    L.save_predictions(new, csv, jsonl, "again")
+    assert both_logs(spark, csv, jsonl) == (as_set(log), as_set(log))
+    assert L.read_csv(spark, csv).count() == len(NASTY)
+    assert L.drop_unpublished(spark, csv) > 0
+    assert L.read_csv(spark, csv).count() == L.read_jsonl(spark, jsonl).count() == len(NASTY)
+
+
+def test_an_empty_batch_replaces_a_full_one(log, spark, tmp_path):
+    csv, jsonl = str(tmp_path / "csv"), str(tmp_path / "jsonl")
+    L.save_predictions(log, csv, jsonl, "batch")
+    L.save_predictions(log.limit(0), csv, jsonl, "batch")
+    assert both_logs(spark, csv, jsonl) == (set(), set())
+    L.append_csv(log, csv, "own")  # a batch of one log alone
+    assert both_logs(spark, csv, jsonl) == (as_set(log), set())
+
+
+def test_a_name_is_written_once(spark, tmp_path):
+    folder = str(tmp_path / "names")
+    assert files.names(spark, folder) == [] and files.newest(spark, folder) == {}
+    assert files.write_new(spark, folder, "k.000000001.json", "first")
+    assert not files.write_new(spark, folder, "k.000000001.json", "second")
+    assert files.publish(spark, folder, "k", "third") == 2
+    assert files.newest(spark, folder) == {"k": 2}
+    assert files.read_text(spark, files.version_path(folder, "k", 1)) == "first"
+    assert all(n.startswith("k.") for n in files.names(spark, folder))
+
+
 def test_history(log):
     newest = [r.input_note for r in H.history(log).collect()]
     assert newest == NASTY[::-1]
