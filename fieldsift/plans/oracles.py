@@ -703,16 +703,18 @@ oracle(
     NOISY,
 )
 # The forest's answers are checked for being answers, the primary method's in full.
-oracle(
-    "predict_tiered",
-    f"""SELECT note_id, status,
+TIERED = f"""SELECT note_id, status,
         CASE WHEN status = 'ok' AND given THEN {lit(PRIMARY_METHOD)}
              WHEN status = 'ok' THEN {lit(FALLBACK_METHOD)} END AS method,
         CASE WHEN status = 'ok' AND given THEN category END AS primary_category,
         status = 'ok' AS answered
         FROM (SELECT n.note_id, {status("n.rep_note")} AS status, category,
                   coalesce(method = 'primary' AND raw_output <> '', false) AS given
-              FROM v_notes AS n LEFT JOIN parsed ON parsed.note_id = n.note_id)""",
+              FROM v_notes AS n LEFT JOIN parsed ON parsed.note_id = n.note_id)"""
+oracle("predict_tiered", TIERED, view_sql("v_notes"), PARSED)
+oracle(
+    "stream_predict_tiered",
+    f"SELECT *, 1::BIGINT AS model_version, status = 'ok' AS logged FROM ({TIERED})",
     view_sql("v_notes"),
     PARSED,
 )

@@ -728,9 +728,43 @@ def stream_rejects(spark, sf_dir):
 
 
 @query
-def stream_counts(spark, sf_dir):
-    running, name = classify.count_stream(
-        view_stream(spark, sf_dir, "v_log"), shared_path(spark, "stream")
+def stream_predict_tiered(spark, sf_dir):
+    train = _prepared(spark, sf_dir).where(F.col("split") == "train")
+    fitted = model.NoteClassifier.fit(train, n_trees=20, tree_depth=8)
+    store = artifacts.save_classifier(spark, fitted, shared_path(spark, "model"))
+    outputs = stage(
+        _outputs(spark, sf_dir).where("method = 'primary' AND raw_output <> ''"), "outputs"
+    )
+    results, csv_path = shared_path(spark, "results"), shared_path(spark, "log-csv")
+    classify.classify_stream_tiered(
+        view_stream(spark, sf_dir, "v_notes"),
+        store,
+        csv_path,
+        shared_path(spark, "log-jsonl"),
+        results,
+        shared_path(spark, "stream"),
+        lambda notes: outputs.join(notes.select("note_id"), "note_id", "left_semi"),
+    ).awaitTermination()
+    logged = prediction_log.read_csv(spark, csv_path).select("input_note", "issue_category").distinct()
+    logged = logged.withColumn("logged", F.lit(True))
+    found = classify.read_results(spark, results)
+    category, confidence = F.col("issue_category"), F.col("confidence")
+    told = F.col("reasoning").isNotNull() & confidence.between(0.0, 1.0)
+    return found.join(logged, ["input_note", "issue_category"], "left").select(
+        "note_id",
+        "status",
+        "method",
+        "model_version",
+        F.when(F.col("method") == PRIMARY_METHOD, category).alias("primary_category"),
+        F.coalesce(category.isin(fitted.classes) & told, F.lit(False)).alias("answered"),
+        F.coalesce("logged", F.lit(False)).alias("logged"),
     )
-    running.awaitTermination()
-    return spark.table(name)
+
+
+@query
+def stream_counts(spark, sf_dir):
+    path = shared_path(spark, "counts")
+    classify.count_stream(
+        view_stream(spark, sf_dir, "v_log"), path, shared_path(spark, "stream")
+    ).awaitTermination()
+    return classify.read_counts(spark, path)

@@ -14,7 +14,12 @@ from fieldsift.operators import gram_filter
 from fieldsift.operators import model as M
 from fieldsift.operators import scoring as S
 from fieldsift.plans.train import cross_validation, train_and_evaluate
-from fieldsift.sources.artifacts import ArtifactNotFoundError, load_classifier, save_classifier
+from fieldsift.sources.artifacts import (
+    ArtifactNotFoundError,
+    current_version,
+    load_classifier,
+    save_classifier,
+)
 
 NOTES = [
     "Stock is low, stock IS low!", "Café stock délai", "a b c", "", None,
@@ -216,6 +221,28 @@ def test_missing_model(spark, tmp_path):
         load_classifier(spark, str(tmp_path / "none"))
 
 
+def test_a_save_that_fails_leaves_the_old_model(labelled, spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    train = labelled.where("split = 'train'").drop("split")
+    first = M.NoteClassifier.fit(train, n_trees=3, tree_depth=3)
+    save_classifier(spark, first, path)
+    second = M.NoteClassifier.fit(train.where("output <> 'demand_spike'"), n_trees=3, tree_depth=3)
+    with monkeypatch.context() as patch:
+        patch.setattr(type(second.forest), "write", lambda self: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            save_classifier(spark, second, path)
+    assert load_classifier(spark, path).classes == first.classes
+    save_classifier(spark, second, path)
+    assert load_classifier(spark, path).classes == second.classes
+    assert load_classifier(spark, path, 1).tfidf.terms == first.tfidf.terms
+    assert current_version(spark, path) == 2
+    for folder in (tmp_path / "model" / "versions").iterdir():
+        if (folder / "vocabulary" / "_SUCCESS").exists():
+            (folder / "vocabulary" / "_SUCCESS").unlink()
+    with pytest.raises(ArtifactNotFoundError, match="vocabulary"):
+        load_classifier(spark, path)
+
+
 def test_cross_validation_tokenises_once(labelled, monkeypatch):
     calls = []
     ngrams = X.ngrams

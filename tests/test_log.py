@@ -3,12 +3,21 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from fieldsift.fixed_values import FALLBACK_METHOD, PRIMARY_METHOD
 from fieldsift.operators import history as H
+from fieldsift.operators.model import NoteClassifier
 from fieldsift.plans.predict import predict_notes, rejected_input
 from fieldsift.sources import files
 from fieldsift.sources import notes as N
 from fieldsift.sources import prediction_log as L
-from fieldsift.streaming.classify import classify_stream, count_stream
+from fieldsift.sources.artifacts import current_version, save_classifier
+from fieldsift.streaming.classify import (
+    classify_stream,
+    classify_stream_tiered,
+    count_stream,
+    read_counts,
+    read_results,
+)
 
 NASTY = ['a "quoted", note', " padded ", "line\nbreak", "cr\r\nlf", "back\\slash", "tab\t", "100% é \U0001f600", ""]
 
@@ -254,13 +263,72 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
 
 
 def test_count_stream(spark, tmp_path, log):
-    log.write.parquet(str(tmp_path / "log"))
-    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
-    query, table = count_stream(stream, str(tmp_path / "checkpoint"))
-    query.awaitTermination()
-    assert {tuple(r) for r in spark.table(table).collect()} == {
-        tuple(r) for r in H.category_counts(log).collect()
-    }
+    paths = [str(tmp_path / p) for p in ("log", "counts", "checkpoint")]
+    counts = lambda: {tuple(r) for r in read_counts(spark.newSession(), paths[1]).collect()}
+
+    def run():
+        stream = spark.readStream.schema(log.schema).parquet(paths[0])
+        count_stream(stream, *paths[1:]).awaitTermination()
+
+    assert counts() == set()
+    for _ in range(2):
+        log.write.mode("append").parquet(paths[0])
+        run()
+        run()
+    doubled = {tuple(r) for r in H.category_counts(log.unionByName(log)).collect()}
+    assert counts() == doubled
+    # The last batch is repeated when its commit was lost.
+    for file in (tmp_path / "checkpoint" / "commits").iterdir():
+        if file.name.strip(".").split(".")[0] == "1":
+            file.unlink()
+    run()
+    assert counts() == doubled
+
+
+def test_tiered_stream_keeps_the_version_of_a_repeated_batch(spark, tmp_path, monkeypatch):
+    rows = [(i, f"{'shortage of stock' if i % 2 else 'price war'} {i}", ["a", "b"][i % 2]) for i in range(40)]
+    train = spark.createDataFrame(rows, "note_id long, input string, output string")
+    store, results, source = (str(tmp_path / p) for p in ("model", "results", "in"))
+    paths = [str(tmp_path / p) for p in ("csv", "jsonl")]
+    save = lambda: save_classifier(spark, NoteClassifier.fit(train, n_trees=3, tree_depth=3), store)
+    save()
+
+    def feed(first, last):
+        notes = [(i, "  " if i % 7 == 0 else rows[i % 40][1]) for i in range(first, last)]
+        spark.createDataFrame(notes, "note_id long, rep_note string").write.mode("append").parquet(source)
+
+    def primary(notes):
+        known = notes.where("note_id % 5 = 1 AND rep_note <> '  '")
+        return known.selectExpr("note_id", "'demand_spike' AS raw_output", "0.5D AS latency_seconds")
+
+    def run():
+        stream = spark.readStream.schema("note_id long, rep_note string").parquet(source)
+        classify_stream_tiered(stream, store, *paths, results, str(tmp_path / "checkpoint"), primary).awaitTermination()
+
+    feed(0, 20)
+    run()
+    save()
+    assert current_version(spark, store) == 2
+    feed(20, 40)
+    with monkeypatch.context() as patch:
+        patch.setattr(L.files, "publish", lambda *a: 1 / 0)
+        with pytest.raises(Exception, match="ZeroDivisionError"):
+            run()
+    save()
+    run()
+    found = {r.note_id: r for r in read_results(spark, results).collect()}
+    assert len(found) == 40
+    assert {i: r.model_version for i, r in found.items()} == {i: 1 if i < 20 else 2 for i in range(40)}
+    for i, r in found.items():
+        if i % 7 == 0:
+            assert (r.status, r.method, r.issue_category) == ("blank", None, None)
+        elif i % 5 == 1:
+            assert (r.method, r.issue_category) == (PRIMARY_METHOD, "demand_spike")
+        else:
+            assert (r.method, r.issue_category) == (FALLBACK_METHOD, rows[i % 40][2])
+    logged = sorted((r.input_note, r.issue_category) for r in found.values() if r.status == "ok")
+    assert logged == sorted((r.input_note, r.issue_category) for r in L.read_csv(spark, paths[0]).collect())
+    assert logged == sorted((r.input_note, r.issue_category) for r in L.read_jsonl(spark, paths[1]).collect())
 
 
 def test_log_rows_are_stamped(spark):
