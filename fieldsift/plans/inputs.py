@@ -68,6 +68,30 @@ VIEWS = {
             "value / 100.0 AS latency_seconds",
         ],
     ),
+    # Whole documents between a lead-in and a last word of model output.
+    "v_text_outputs": (
+        "documents",
+        "doc_id",
+        [
+            "doc_id AS note_id",
+            *(
+                f"""concat(CASE doc_id % 5
+                    WHEN 0 THEN 'Category: '
+                    WHEN 1 THEN '- the category is '
+                    WHEN 2 THEN '  Output: '
+                    ELSE '' END, text, CASE doc_id % 13
+                    WHEN 0 THEN ' pricing_conflict.'
+                    WHEN 1 THEN ' retailer dissatisfaction'
+                    WHEN 2 THEN ' stock shortage delivery delay'
+                    WHEN 3 THEN ' price demand'
+                    WHEN 4 THEN ' COMPETITOR promotion!?'
+                    WHEN 5 THEN chr(10)
+                    WHEN 6 THEN ' Demand_Spike, supply_chain_delay'
+                    ELSE '' END) AS {name}"""
+                for name in ("raw_output", "rep_note")
+            ),
+        ],
+    ),
     # Prediction log with some categories missing.
     "v_log": (
         "events",

@@ -140,6 +140,11 @@ oracle(
         FROM v_log CROSS JOIN (VALUES ('csv'), ('jsonl')) AS logs(log)""",
     view_sql("v_log"),
 )
+oracle(
+    "log_stamped",
+    "SELECT input_note, issue_category, true AS stamped FROM v_log",
+    view_sql("v_log"),
+)
 
 # --- validity, mapping, counts ------------------------------------------------
 
@@ -595,6 +600,18 @@ oracle(
     REPORT,
     AVERAGES,
 )
+oracle(
+    "metrics_json",
+    f"""SELECT label, support, {', '.join(f'round("{m}", 6) AS "{m}"' for m in _measures)},
+        round((SELECT count(*) FILTER (true_category = category) / count(*) FROM parsed), 6) AS accuracy,
+        {', '.join(f"""round((SELECT "{m}" FROM averages WHERE average = 'weighted'), 6) AS {m}_weighted""" for m in _measures)},
+        (SELECT array_to_string(list(n ORDER BY p), ',') FROM (
+            SELECT p.label AS p, count(note_id) AS n FROM labels p LEFT JOIN parsed
+                ON category = p.label AND true_category = report.label GROUP BY p.label)) AS counts
+        FROM report""",
+    REPORT,
+    AVERAGES,
+)
 oracle(
     "method_comparison",
     """SELECT method, round(count(*) FILTER (true_category = category) / count(*), 6)
@@ -673,6 +690,16 @@ PREDICTED = (
         FROM v_noisy_notes, abbreviations)"""
     + PARSED[len(view_sql("v_raw_outputs")):]
 )
+# Whole documents as model output and as notes.
+def on_documents(ctes: str) -> str:
+    texts = view_sql("v_text_outputs").removeprefix("v_text_outputs AS ")
+    return f"v_raw_outputs AS {texts}" + ctes[len(view_sql("v_raw_outputs")):]
+
+
+for _name in ("clean_output", "extract_category", "keyword_score", "parse_category", "eval_label"):
+    ORACLES[f"{_name}_documents"] = ORACLES[_name].replace(
+        view_sql("v_raw_outputs"), on_documents(view_sql("v_raw_outputs"))
+    )
 _answer = ", ".join(
     f"CASE WHEN status = 'ok' THEN {value} END AS {name}"
     for name, value in [
@@ -687,6 +714,12 @@ oracle(
     f"SELECT note_id, rep_note AS input_note, status, {_answer} FROM parsed",
     PREDICTED,
 )
+oracle(
+    "predict_documents",
+    f"SELECT note_id, rep_note AS input_note, status, {_answer} FROM parsed",
+    PREDICTED.replace(NOISY, NOISY[: NOISY.index("v_noisy_notes AS")] + "v_noisy_notes AS "
+                      + view_sql("v_text_outputs").removeprefix("v_text_outputs AS "), 1),
+)
 oracle(
     "stream_predict",
     """SELECT log, rep_note AS input_note, category AS issue_category
@@ -703,7 +736,7 @@ oracle(
     NOISY,
 )
 # The forest's answers are checked for being answers, the primary method's in full.
-TIERED = f"""SELECT note_id, status,
+TIERED_ROWS = f"""SELECT note_id, status,
         CASE WHEN status = 'ok' AND given THEN {lit(PRIMARY_METHOD)}
              WHEN status = 'ok' THEN {lit(FALLBACK_METHOD)} END AS method,
         CASE WHEN status = 'ok' AND given THEN category END AS primary_category,
@@ -711,10 +744,10 @@ TIERED = f"""SELECT note_id, status,
         FROM (SELECT n.note_id, {status("n.rep_note")} AS status, category,
                   coalesce(method = 'primary' AND raw_output <> '', false) AS given
               FROM v_notes AS n LEFT JOIN parsed ON parsed.note_id = n.note_id)"""
-oracle("predict_tiered", TIERED, view_sql("v_notes"), PARSED)
+oracle("predict_tiered", TIERED_ROWS, view_sql("v_notes"), PARSED)
 oracle(
     "stream_predict_tiered",
-    f"SELECT *, 1::BIGINT AS model_version, status = 'ok' AS logged FROM ({TIERED})",
+    f"SELECT *, 1::BIGINT AS model_version, status = 'ok' AS logged FROM ({TIERED_ROWS})",
     view_sql("v_notes"),
     PARSED,
 )
@@ -729,6 +762,19 @@ oracle(
     """SELECT note_id, output AS "true", true AS same FROM prepared WHERE split = 'test'""",
     SPLIT,
 )
+# Languages can be told apart, so the forest has to be right.
+BY_LANGUAGE = SPLIT.replace(
+    VALID,
+    f"""valid AS (SELECT doc_id AS note_id, {strip('text')} AS input, lang AS output
+        FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)""",
+    1,
+)
+oracle(
+    "model_evaluation",
+    """SELECT output AS label, count(*) AS support, true AS learned
+        FROM prepared WHERE split = 'test' GROUP BY output""",
+    BY_LANGUAGE,
+)
 oracle(
     "cv_train",
     """SELECT fold, count(*) AS n, true AS in_range, true AS flagged FROM (

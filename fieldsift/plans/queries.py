@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from ..operators import (
 from ..session import shared_path, stage
 from ..sources import artifacts, notes, prediction_log, reports
 from ..streaming import classify
-from . import predict
+from . import predict, train
 from .inputs import table, view, view_stream
 from .prepare import prepare_dataset
 
@@ -45,8 +47,8 @@ def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_noisy_notes")
 
 
-def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "v_raw_outputs")
+def _outputs(spark: SparkSession, sf_dir: str, source: str = "v_raw_outputs") -> DataFrame:
+    return view(spark, sf_dir, source)
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +116,36 @@ def metrics_report(spark, sf_dir):
     return reports.report_lines(_scored(spark, sf_dir))
 
 
+@query
+def metrics_json(spark, sf_dir):
+    path = reports.write_report(_scored(spark, sf_dir), shared_path(spark, "evaluation"))
+    written = reports.read_metrics(spark, path)
+    overall = ["accuracy", *(f"{m}_weighted" for m in ("precision", "recall", "f1"))]
+    place = F.array_position(F.array(*[F.lit(c) for c in sorted(CATEGORIES)]), F.col("label"))
+    return written.select(
+        "*", F.explode("classification_report").alias("label", "own")
+    ).select(
+        "label",
+        "own.support",
+        *[F.round(F.col("own")[m], 6).alias(m) for m in ("precision", "recall", "f1")],
+        *[F.round(m, 6).alias(m) for m in overall],
+        F.array_join(F.get("confusion_matrix", place.cast("int") - 1).cast("array<string>"), ",").alias("counts"),
+    )
+
+
+@query
+def log_stamped(spark, sf_dir):
+    csv_path, jsonl_path = shared_path(spark, "log-csv"), shared_path(spark, "log-jsonl")
+    before = F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+    rows = prediction_log.log_rows(_log(spark, sf_dir))
+    prediction_log.save_predictions(rows, csv_path, jsonl_path)
+    after = before + F.expr("INTERVAL 1 DAY")
+    stamped = F.convert_timezone(None, F.lit("UTC"), F.col("timestamp")).between(before, after)
+    return prediction_log.read_jsonl(spark, jsonl_path).select(
+        "input_note", "issue_category", stamped.alias("stamped")
+    )
+
+
 # --- validity, mapping, counts ------------------------------------------------
 
 
@@ -314,24 +346,24 @@ def prediction_contract(spark, sf_dir):
 
 
 @query
-def clean_output(spark, sf_dir):
-    return _outputs(spark, sf_dir).select(
+def clean_output(spark, sf_dir, source="v_raw_outputs"):
+    return _outputs(spark, sf_dir, source).select(
         "note_id", labels.clean_output(F.col("raw_output")).alias("cleaned")
     )
 
 
 @query
-def extract_category(spark, sf_dir):
-    return _outputs(spark, sf_dir).select(
+def extract_category(spark, sf_dir, source="v_raw_outputs"):
+    return _outputs(spark, sf_dir, source).select(
         "note_id", labels.extract_category(F.col("raw_output")).alias("category")
     )
 
 
 @query
-def keyword_score(spark, sf_dir):
+def keyword_score(spark, sf_dir, source="v_raw_outputs"):
     cleaned = labels.clean_output(F.col("raw_output"))
     return (
-        _outputs(spark, sf_dir)
+        _outputs(spark, sf_dir, source)
         .select(
             "note_id",
             labels.keyword_scores(cleaned).alias("scores"),
@@ -349,21 +381,34 @@ def keyword_score(spark, sf_dir):
 
 
 @query
-def parse_category(spark, sf_dir):
+def parse_category(spark, sf_dir, source="v_raw_outputs"):
     return (
-        _outputs(spark, sf_dir)
+        _outputs(spark, sf_dir, source)
         .select("note_id", labels.parse_category(F.col("raw_output")).alias("parsed"))
         .select("note_id", "parsed.*")
     )
 
 
 @query
-def eval_label(spark, sf_dir):
-    return _outputs(spark, sf_dir).select(
+def eval_label(spark, sf_dir, source="v_raw_outputs"):
+    return _outputs(spark, sf_dir, source).select(
         "note_id", labels.eval_label(F.col("raw_output")).alias("label")
     )
 
 
+def _on_documents(name, fn):
+    """The same query with whole documents as model output."""
+
+    def run(spark, sf_dir):
+        return fn(spark, sf_dir, "v_text_outputs")
+
+    QUERIES[f"{name}_documents"] = run
+
+
+for _name in ("clean_output", "extract_category", "keyword_score", "parse_category", "eval_label"):
+    _on_documents(_name, QUERIES[_name])
+
+
 @query
 def eval_predictions(spark, sf_dir):
     outputs = _outputs(spark, sf_dir).select(
@@ -490,6 +535,11 @@ def predict_notes(spark, sf_dir):
     return predict.predict_notes(_noisy(spark, sf_dir))
 
 
+@query
+def predict_documents(spark, sf_dir):
+    return predict.predict_notes(_outputs(spark, sf_dir, "v_text_outputs"))
+
+
 # --- prompts and messages -----------------------------------------------------
 
 
@@ -597,6 +647,21 @@ def rf_train_score(spark, sf_dir):
     )
 
 
+@query
+def model_evaluation(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("note_id"), text.py_strip(F.col("text")).alias("input"), F.col("lang").alias("output")
+    )
+    notes = dataset.dedup_first(documents.where("input IS NOT NULL AND output IS NOT NULL"))
+    split = stage(sampling.stratified_split(notes), "languages")
+    path = shared_path(spark, "model")
+    train.train_and_evaluate(split, path, clean=False, n_trees=30, tree_depth=12)
+    report = reports.read_metrics(spark, f"{path}/evaluation")
+    return report.select(F.explode("classification_report").alias("label", "own")).select(
+        "label", "own.support", (F.col("own.f1") >= 0.8).alias("learned")
+    )
+
+
 @query
 def model_roundtrip(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)

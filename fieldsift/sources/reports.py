@@ -88,6 +88,19 @@ def metrics_json(scored: DataFrame, labels: list[str] = CATEGORIES) -> DataFrame
     return per_label.select(F.to_json(value).alias("value"))
 
 
+METRICS_SCHEMA = (
+    "accuracy double, precision_weighted double, recall_weighted double, f1_weighted double, "
+    "classification_report map<string, "
+    "struct<precision: double, recall: double, f1: double, support: bigint>>, "
+    "confusion_matrix array<array<bigint>>"
+)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics that :func:`write_report` has written, one row."""
+    return spark.read.schema(METRICS_SCHEMA).option("mode", "FAILFAST").json(f"{path}/metrics")
+
+
 def write_report(scored: DataFrame, path: str, labels: list[str] = CATEGORIES) -> str:
     """Write the metrics as JSON and the report as text below ``path``."""
     metrics_json(scored, labels).coalesce(1).write.mode("overwrite").text(f"{path}/metrics")
