@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import MIN_LEAF, N_TREES, SEED
+from ..fixed_values import MIN_LEAF, MIN_SPLIT, N_TREES, SEED
 from ..functions.text import clean_note
 from ..session import stage
 from .dataset import class_weights
@@ -28,6 +28,7 @@ from .features import (
     label_classes,
     run_grams,
 )
+from .forest import prune_forest
 from .metrics import weighted_f1_by
 
 # The greatest depth that Spark allows; leaves end at MIN_LEAF notes anyway.
@@ -62,8 +63,9 @@ def fit_forest(
     The numbers of a note, not its text, are dealt out by its id: the forest
     passes over them once per group of nodes, a core for each partition.
     """
-    cores = features.sparkSession.sparkContext.defaultParallelism
-    return RandomForestClassifier(
+    spark = features.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    grown = RandomForestClassifier(
         numTrees=n_trees,
         maxDepth=tree_depth,
         minInstancesPerNode=MIN_LEAF,
@@ -72,6 +74,7 @@ def fit_forest(
         weightCol="weight",
         seed=seed,
     ).fit(features.repartition(cores, "note_id"))
+    return prune_forest(spark, grown, MIN_SPLIT)
 
 
 def answers(

@@ -4,13 +4,14 @@ import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldsift.fixed_values import CATEGORIES, CATEGORY_KEYWORDS
+from fieldsift.fixed_values import CATEGORIES, CATEGORY_KEYWORDS, MIN_LEAF, MIN_SPLIT
 from fieldsift.operators import features as X
-from fieldsift.operators import gram_filter
+from fieldsift.operators import forest, gram_filter
 from fieldsift.operators import model as M
 from fieldsift.operators import scoring as S
 from fieldsift.plans.train import cross_validation, train_and_evaluate
@@ -221,6 +222,33 @@ def test_missing_model(spark, tmp_path):
         load_classifier(spark, str(tmp_path / "none"))
 
 
+def test_no_small_node_is_split(labelled, spark, tmp_path):
+    model = M.NoteClassifier.fit(labelled.where("split = 'train'").drop("split"), n_trees=8, tree_depth=12)
+    model.forest.write().save(str(tmp_path / "forest"))
+    nodes = [r.nodeData for r in spark.read.parquet(str(tmp_path / "forest" / "data")).collect()]
+    assert all(n.rawCount >= MIN_SPLIT for n in nodes if n.leftChild >= 0)
+    assert all(n.rawCount >= MIN_LEAF for n in nodes) and any(n.rawCount < 10 for n in nodes)
+
+
+def test_pruned_tree():
+    leaf = {"prediction": 0.0, "impurity": 0.0, "impurityStats": [1.0], "gain": -1.0, "leftChild": -1, "rightChild": -1, "split": forest.NO_SPLIT}
+    split = {**leaf, "gain": 0.5, "split": {"featureIndex": 3, "leftCategoriesOrThreshold": [0.5], "numCategories": -1}}
+    rows = [
+        {**split, "id": 0, "rawCount": 9, "leftChild": 1, "rightChild": 4},
+        {**split, "id": 1, "rawCount": 4, "leftChild": 2, "rightChild": 3},
+        {**leaf, "id": 2, "rawCount": 2},
+        {**leaf, "id": 3, "rawCount": 2},
+        {**split, "id": 4, "rawCount": 5, "leftChild": 5, "rightChild": 6},
+        {**leaf, "id": 5, "rawCount": 3},
+        {**leaf, "id": 6, "rawCount": 2},
+    ]
+    found = forest._prune_tree(pd.DataFrame(rows[::-1]), 5)
+    assert found["rawCount"].tolist() == [9, 4, 5, 3, 2] and found["id"].tolist() == [0, 1, 2, 3, 4]
+    assert found["leftChild"].tolist() == [1, -1, 3, -1, -1] and found["rightChild"].tolist() == [2, -1, 4, -1, -1]
+    assert [s["featureIndex"] for s in found["split"]] == [3, -1, 3, -1, -1]
+    assert len(forest._prune_tree(pd.DataFrame(rows), 100)) == 1
+
+
 def test_a_save_that_fails_leaves_the_old_model(labelled, spark, tmp_path, monkeypatch):
     path = str(tmp_path / "model")
     train = labelled.where("split = 'train'").drop("split")
