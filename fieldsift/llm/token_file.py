@@ -14,6 +14,7 @@ ids (int64), control bytes, data bytes; all little-endian.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -42,11 +43,27 @@ LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
+# A space next to another white space: such texts are not cut at spaces alone.
+_wide_space = re.compile(r"\s | \s").search
+
+
+class Chunks(Memo):
+    """Ids of what stands between single spaces; long ones are not kept."""
+
+    LONGEST = 64
+
+    def keep(self, word: str, found: object) -> None:
+        if len(word) <= self.LONGEST:
+            super().keep(word, found)
+
+
 class LibraryEncoder:
     """Ids as the tokenizers library gives them, each word encoded once in a while.
 
     The library splits a text at special tokens and then into words, which it
-    merges one by one; so ids are kept by word.
+    merges one by one; so ids are kept by word. No word goes beyond a single
+    space, which belongs to the word after it, so they are kept as well for all
+    that stands between two spaces.
     """
 
     def __init__(self, path: str):
@@ -60,6 +77,11 @@ class LibraryEncoder:
         self.size = self.library.get_vocab_size()
         self.memo = Memo(lambda word: self._ids([word])[0])
         self.memo.fill = self._ids
+        self.first = Chunks(self._chunk)
+        self.later = Chunks(lambda chunk: self._chunk(" " + chunk))
+
+    def _chunk(self, text: str) -> bytes:
+        return b"".join(self.memo.all(pieces(text)))
 
     def _ids(self, words: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(words, add_special_tokens=False)
@@ -69,7 +91,10 @@ class LibraryEncoder:
         """Ids as little-endian 32-bit integers."""
         if any(s in text for s in self.special):
             return self._ids([text])[0]
-        return b"".join(self.memo.all(pieces(text)))
+        if _wide_space(text) or text[:1] == " " or text[-1:] == " ":
+            return self._chunk(text)
+        first, *later = text.split(" ")
+        return b"".join([*self.first.all([first]), *self.later.all(later)])
 
 
 @lru_cache(maxsize=1)
@@ -100,24 +125,39 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """Staged (doc_id, ids as bytes, n); two bytes an id where the vocabulary allows."""
+    """Staged (doc_id, ids as bytes, n); two bytes an id where the vocabulary allows.
+
+    One more row for each task holds how often each id occurs (``totals``).
+    """
+    names = ["doc_id", "ids", "n", "totals"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = library_encoder(path)
         last = np.array([end], "<u4").tobytes()
         kind = "<u2" if max(own.size, end + 1) <= 1 << 16 else "<u4"
+        totals = np.zeros(max(own.size, end + 1), np.int64)
         for batch in batches:
-            found = [np.frombuffer(own.encode(v.as_py() or "") + last, "<u4") for v in batch.column(1)]
+            found = [own.encode(v.as_py() or "") + last for v in batch.column(1)]
+            ids = np.frombuffer(b"".join(found), "<u4")
+            totals += np.bincount(ids, minlength=len(totals))
+            data, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+            sizes = np.array([len(f) // 4 for f in found], np.int64)
+            ends = (np.cumsum(sizes) * width).tolist()
+            cut = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([f.astype(kind).tobytes() for f in found], pa.binary()),
-                    pa.array([len(f) for f in found], pa.int64()),
-                ],
-                ["doc_id", "ids", "n"],
+                [batch.column(0), pa.array(cut, pa.binary()), pa.array(sizes), pa.nulls(len(cut), pa.binary())], names
             )
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(1, pa.int64()),
+                pa.nulls(1, pa.binary()),
+                pa.nulls(1, pa.int64()),
+                pa.array([totals.astype("<i8").tobytes()], pa.binary()),
+            ],
+            names,
+        )
 
-    return stage(docs.mapInArrow(run, "doc_id long, ids binary, n long"), "ids")
+    return stage(docs.mapInArrow(run, "doc_id long, ids binary, n long, totals binary"), "ids")
 
 
 def _ids(data: bytes, n: int) -> np.ndarray:
@@ -130,15 +170,14 @@ def _ranked(encoded: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for data, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.bincount(_ids(data, n), minlength=len(total))
-                part[: len(total)] += total
-                total = part
+            for data in batch.column(0).to_pylist():
+                part = np.frombuffer(data, "<i8")
+                total = part if not len(total) else total + part
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    counts = encoded.select("ids", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = counts.collect()
+    totals = encoded.filter(F.col("totals").isNotNull()).select("totals")
+    rows = totals.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
@@ -195,7 +234,8 @@ def write_tokens(
         )
 
     keys = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("digest")]
-    ordered = encoded.withColumn("digest", F.xxhash64("ids")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    texts = encoded.filter(F.col("n").isNotNull()).select("doc_id", "ids", "n")
+    ordered = texts.withColumn("digest", F.xxhash64("ids")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     listed, n = files(
         ordered.select("doc_id", "ids", "n").mapInArrow(write, "file long, path string, ids long"), "token_files"
     )
