@@ -12,7 +12,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsift.session import shared_path, stage
+from fieldsift import session
+from fieldsift.session import stage
+from fieldsift.sources.files import full_path
 
 __all__ = ["col", "files", "fresh", "new_file", "shared_path", "splitmix", "stage", "store", "table"]
 
@@ -46,6 +48,11 @@ def splitmix(n: int) -> np.uint64:
     return np.uint64(z ^ (z >> 31))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, with its file system, as every task resolves it."""
+    return full_path(spark, session.shared_path(spark, name))
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder or file below the shared folder."""
     local = uri.removeprefix("file:")
