@@ -11,7 +11,8 @@ probability STOP.
 A kd-tree over a sample of projections cuts the space into cells; all vectors
 are dealt to the cells, and each cell has its own kd-tree. A query searches its
 own cell, which gives a bound, and then all cells that the chi-square test
-leaves open. Equal vectors are searched once. Cells and their queries meet in
+leaves open; within a cell, all queries go through its leaves together. Equal
+vectors are searched once. Cells and their queries meet in
 blocks of a bounded size.
 """
 
@@ -21,7 +22,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +35,10 @@ M, SEED, STOP = 8, 17, 0.98
 SAMPLE, CELLS = 65_536, 4096
 # Vectors of a cell on average; most vectors and most queries of a block.
 CELL, BLOCK, QUERIES = 4096, 8192, 2048
+# Queries whose open cells are listed at a time.
+SOME = 64
 # Vectors of a leaf of a cell's tree.
-LEAF = 64
+LEAF = 256
 
 
 def chi_square(x: np.ndarray | float) -> np.ndarray | float:
@@ -102,38 +104,78 @@ class Tree:
         return out
 
 
-def box_distances(low: np.ndarray, high: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """Squared distances of a point to boxes."""
-    gap = np.maximum(np.maximum(low - point, point - high), 0.0)
-    return np.einsum("ij,ij->i", gap, gap)
+def box_distances(low: np.ndarray, high: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances of points to boxes: a row for each point."""
+    far = np.zeros((len(points), len(low)))
+    for axis in range(low.shape[1]):
+        own = points[:, axis, None]
+        far += np.maximum(np.maximum(low[:, axis] - own, own - high[:, axis]), 0.0) ** 2
+    return far
+
+
+def settled(far: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Whether what lies at projected distances from ``far`` on can be left out.
+
+    ``reach`` is the squared distance of a vector as good as the worst one held.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unlikely = chi_square(far / reach) >= STOP
+    return np.where(reach > 0, unlikely, far > 0)
 
 
 class Cell:
-    """Vectors of one block, searched by growing projected distance."""
+    """Vectors of one block, searched by growing projected distance, for all queries at once."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, radius: float):
-        self.ids, self.vectors, self.radius = ids, vectors, radius
-        self.points = lift(vectors, radius) @ projection(vectors.shape[1] + 1)
+    def __init__(self, first: np.ndarray, names: np.ndarray, vectors: np.ndarray, radius: float):
+        order = np.lexsort((names, first))  # rows stand in the order of ties
+        self.names, self.vectors, self.radius = names[order], vectors[order], radius
+        self.points = lift(self.vectors, radius) @ projection(vectors.shape[1] + 1)
         self.tree = Tree(self.points, LEAF)
 
-    def search(self, query: np.ndarray, point: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best found; ``bound``: a k-th best score known already."""
-        length = math.sqrt(float(query @ query))
-        far = box_distances(self.tree.low, self.tree.high, point)
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        for leaf in np.argsort(far, kind="stable"):
-            worst = max(bound, scores[k - 1] if len(scores) >= k else -math.inf)
-            if worst > -math.inf:
-                # Squared distance of the lifted pair with this inner product.
-                reach = 2 * self.radius * (self.radius - worst / length)
-                if reach <= 0 < far[leaf] or (reach > 0 and chi_square(far[leaf] / reach) >= STOP):
-                    break
-            rows = self.tree.leaves[leaf]
-            ids = np.concatenate([ids, self.ids[rows]])
-            scores = np.concatenate([scores, self.vectors[rows] @ query])
-            order = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[order], scores[order]
-        return ids, scores
+    def _leaf(self, rows: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(query, row, score) of a leaf's k best for each query, and of all that equal the last."""
+        scores = queries @ self.vectors[rows].T
+        if len(rows) > k:
+            least = np.maximum(least, np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k])
+        query, at = np.nonzero(scores >= least[:, None])
+        return query, rows[at], scores[query, at]
+
+    def search(
+        self, queries: np.ndarray, points: np.ndarray, k: int, bounds: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, name, score) of the k best found for each query.
+
+        ``bounds``: k-th best scores known already, -inf where there is none.
+        Each step takes every open query to its next leaf, so the queries that
+        meet in a leaf share a product.
+        """
+        lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        far = box_distances(self.tree.low, self.tree.high, points)
+        ways = np.argsort(far, axis=1, kind="stable")
+        worst = bounds.astype(float).copy()
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        open_ = np.arange(len(queries))
+        for step in range(ways.shape[1]):
+            leaf = ways[open_, step]
+            # Squared distance of the lifted pair with this inner product.
+            reach = 2 * self.radius * (self.radius - worst[open_] / lengths[open_])
+            more = ~settled(far[open_, leaf], reach)
+            open_, leaf = open_[more], leaf[more]
+            if not len(open_):
+                break
+            found = [best]
+            for own in np.unique(leaf).tolist():
+                some = open_[leaf == own]
+                query, rows, scores = self._leaf(self.tree.leaves[own], queries[some], worst[some], k)
+                found.append([some[query], rows, scores])
+            query, rows, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((rows, -scores, query))
+            query, rows, scores = query[order], rows[order], scores[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            best = [query[place < k], rows[place < k], scores[place < k]]
+            last = place == k - 1
+            worst[query[last]] = np.maximum(worst[query[last]], scores[last])
+        return best[0], self.names[best[1]], best[2]
 
 
 def _usable(rows: DataFrame) -> DataFrame:
@@ -146,9 +188,7 @@ def _usable(rows: DataFrame) -> DataFrame:
     return fine.filter(F.size("v") == (usual["n"] if usual else -1)).distinct()
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    if isinstance(column, pd.Series):
-        return np.stack(column.to_list()).astype(float) if len(column) else np.empty((0, 0))
+def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(float) if len(column) else np.empty((0, 0))
 
@@ -183,7 +223,11 @@ def nearest(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding",
         return rows.sparkSession.createDataFrame([], schema)
     radius, size = float(facts["radius"]), int(facts["size"])
 
-    sampled = named.orderBy(F.xxhash64("name")).limit(SAMPLE).select("v").toArrow()
+    # About twice as many as are taken, so that no task gets many more.
+    draw = F.xxhash64("name", F.lit("sample"))
+    share = min(1.0, 2 * SAMPLE / facts["n"])
+    some = named.filter(F.pmod(draw, F.lit(1 << 40)) < int(share * (1 << 40)))
+    sampled = some.orderBy(draw, "name").limit(SAMPLE).select("v").toArrow()
     points = lift(_matrix(sampled["v"].combine_chunks()), radius) @ projection(size + 1)
     cells = min(CELLS, max(1, facts["n"] // CELL))
     outer = Tree(points, max(1, math.ceil(len(points) / cells)))
@@ -194,9 +238,12 @@ def nearest(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding",
         for batch in batches:
             if batch.num_rows:
                 own = outer.locate(lift(_matrix(batch.column(1)), radius) @ matrix)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], ["name", "v", "cell"])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(own, pa.int64())], ["name", "v", "first", "cell"]
+                )
 
-    dealt = stage(named.select("name", "v").mapInArrow(to_cells, "name long, v array<double>, cell long"), "cells")
+    schema_of_cells = "name long, v array<double>, first long, cell long"
+    dealt = stage(named.select("name", "v", "first").mapInArrow(to_cells, schema_of_cells), "cells")
     # One row for each cell.
     counts = {r["cell"]: r["count"] for r in dealt.groupBy("cell").count().collect()}
     parts = {c: max(1, math.ceil(n / BLOCK)) for c, n in counts.items()}
@@ -208,7 +255,7 @@ def nearest(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding",
             if not batch.num_rows:
                 continue
             own = lift(_matrix(batch.column(1)), radius) @ matrix
-            where = batch.column(2).to_numpy()
+            where = batch.column(3).to_numpy()
             for c in np.unique(where):
                 mine = own[where == c]
                 low[c] = np.minimum(low.get(c, math.inf), mine.min(axis=0))
@@ -252,7 +299,7 @@ def nearest(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding",
             dealt.join(plan, F.col("cell") == F.col("at"))
             .withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")))
             .withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
-            .select("cell", "part", F.col("round").cast("long").alias("round"), "name", "v")
+            .select("cell", "part", F.col("round").cast("long").alias("round"), "name", "v", "first")
         )
         turns = (
             visits.join(plan, F.col("cell") == F.col("at"))
@@ -261,20 +308,22 @@ def nearest(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding",
             .select("cell", F.col("part").cast("long").alias("part"), "round", "name", "v", "bound")
         )
 
-        def run(points: pd.DataFrame, turns: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(points) and len(turns):
-                cell = Cell(points["name"].to_numpy(), _matrix(points["v"]), radius)
-                vectors = _matrix(turns["v"])
+        def run(points: pa.Table, turns: pa.Table) -> pa.Table:
+            found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            if points.num_rows and turns.num_rows:
+                names, first = points["name"].to_numpy(), points["first"].to_numpy()
+                cell = Cell(first, names, _matrix(points["v"].combine_chunks()), radius)
+                vectors, asked = _matrix(turns["v"].combine_chunks()), turns["name"].to_numpy()
                 projected = lift_queries(vectors, radius) @ projection(size + 1)
-                for name, v, p, bound in zip(turns["name"], vectors, projected, turns["bound"], strict=True):
-                    ids, scores = cell.search(v, p, keep, -math.inf if pd.isna(bound) else bound)
-                    out.append(pd.DataFrame({"query": name, "name": ids, "score": scores}))
-            return pd.concat(out) if out else pd.DataFrame({"query": [], "name": [], "score": []})
+                bounds = turns["bound"].to_numpy().astype(float)  # null: NaN
+                bounds = np.where(np.isnan(bounds), -math.inf, bounds)
+                query, own, scores = cell.search(vectors, projected, keep, bounds)
+                found = [asked[query], own, scores]
+            return pa.table(dict(zip(["query", "name", "score"], found, strict=True)))
 
         keys = ["cell", "part", "round"]
         both = blocks.groupBy(*keys).cogroup(turns.groupBy(*keys))
-        return stage(both.applyInPandas(run, "query long, name long, score double"), "found")
+        return stage(both.applyInArrow(run, "query long, name long, score double"), "found")
 
     spark = rows.sparkSession
     first = searched(queries.select("name", "v", "cell", F.lit(None).cast("double").alias("bound")))
@@ -287,26 +336,21 @@ def nearest(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding",
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = projection(size + 1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, SOME) for b in batches for at in range(0, b.num_rows, SOME)):
             vectors = _matrix(batch.column(1))
             projected = lift_queries(vectors, radius) @ matrix
-            pick, to = [], []
-            for i, (v, p, home, bound) in enumerate(
-                zip(vectors, projected, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ):
-                open_ = box_cells != home
-                if bound is not None:
-                    reach = 2 * radius * (radius - bound / math.sqrt(float(v @ v)))
-                    far = box_distances(low, high, p)
-                    open_ &= (chi_square(far / reach) < STOP) if reach > 0 else far <= 0
-                chosen = box_cells[open_]
-                pick += [i] * len(chosen)
-                to += chosen.tolist()
+            home = batch.column(2).to_numpy()
+            bound = batch.column(3).to_numpy(zero_copy_only=False).astype(float)  # null: NaN
+            bound = np.where(np.isnan(bound), -math.inf, bound)
+            reach = 2 * radius * (radius - bound / np.sqrt(np.einsum("ij,ij->i", vectors, vectors)))
+            far = box_distances(low, high, projected)
+            open_ = ~settled(far, np.broadcast_to(reach[:, None], far.shape)) & (box_cells != home[:, None])
+            pick, to = np.nonzero(open_)
+            to = box_cells[to]
             taken = batch.take(pa.array(pick, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [taken.column(0), taken.column(1), pa.array(to, pa.int64()), taken.column(3)], ["name", "v", "cell", "bound"]
+                [taken.column(0), taken.column(1), pa.array(to, pa.int64()), taken.column(3)],
+                ["name", "v", "cell", "bound"],
             )
 
     more = queries.join(bounds, "name", "left").select("name", "v", "cell", "bound")

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from fieldsift.llm import nearest as nearest_module
 from fieldsift.llm.nearest import nearest
 
 
@@ -41,6 +42,44 @@ def test_nearest_equals_brute_force(spark, n):
     assert hits >= 0.9 * total
 
 
+def search(df, monkeypatch, cell):
+    """Found rows by query, with cells of that many vectors."""
+    monkeypatch.setattr(nearest_module, "CELL", cell)
+    monkeypatch.setattr(nearest_module, "BLOCK", 2 * cell)
+    out = {}
+    for r in sorted(nearest(df).collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["clustered", "spread"])
+def test_recall_over_many_cells(spark, monkeypatch, kind):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(3000, 64))
+    if kind == "clustered":
+        vectors = rng.normal(size=(40, 64))[rng.integers(0, 40, 3000)] + 0.3 * vectors
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = search(df, monkeypatch, 150)
+    scores = vectors @ vectors.T
+    hits = 0
+    assert sorted(found) == list(range(0, 3000, 20))
+    for q, own in found.items():
+        best = np.lexsort((np.arange(3000), -scores[q]))
+        hits += len({i for i, _ in own} & set(best[best != q][:20].tolist()))
+        assert len(own) == 20 and all(abs(s - scores[q, i]) < 1e-9 for i, s in own)
+    assert hits >= 0.9 * 20 * len(found)
+
+
+def test_ties_go_to_the_smaller_id(spark, monkeypatch):
+    rows = [(20, [1.0, 0.0, 0.0, 0.0])] + [(i if i < 20 else i + 1, [1.0, float(i), float(i % 7), 1.0]) for i in range(400)]
+    rows += [(1000, [0.0, 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for cell in (4096, 60):
+        found = search(df, monkeypatch, cell)
+        assert found[20] == [(i, 1.0) for i in range(20)]
+        assert [s for _, s in found[1000]] == [1.0] * 20 and [i for i, _ in found[1000]] == list(range(20))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
