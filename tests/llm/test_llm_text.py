@@ -221,6 +221,54 @@ def test_battery_tells_random_from_regular():
     assert not secret_scan.looks_random(*secret_scan.battery(np.zeros(40, int), 62))
 
 
+def identifiers(rng, n):
+    """Ordinary names, paths and dates of 20 signs and more, and some words."""
+    words = ["".join(rng.choice(["ka", "le", "mon", "tri", "sa", "per", "o", "ning", "ex", "ful"]) for _ in range(rng.randrange(1, 5))) for _ in range(900)]
+    out = []
+    for _ in range(n):
+        some = rng.choices(words, k=40)
+        names = ["".join(map(str.capitalize, some[:6])) + str(rng.randrange(100)), "_".join(some[6:11]) + "_2024", "/".join(some[11:16]) + "/v2",
+                 "".join(some[16:21]).upper() + "7"]
+        out.append(" ".join(some[21:] + [x for x in names if len(x) >= 20]))
+    return out
+
+
+def test_few_ordinary_strings_are_secrets(spark):
+    rng = random.Random(12)
+    texts = identifiers(rng, 6000)
+    tested = sum(len(list(secret_scan.tested_strings(t, secret_scan.base_spans(t)))) for t in texts)
+    found = secret_scan.find_secrets(frame(spark, texts)).agg(F.sum("n_random")).first()[0]
+    assert tested > 15_000 and found <= 0.0005 * tested
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = {}
+    for i in range(0, 6000, 20):
+        token = "".join(rng.choices(alnum, k=rng.choice([40, 48, 64])))
+        planted[i] = f"random:{len(texts[i]) + 1}:{len(texts[i]) + 1 + len(token)}"
+        texts[i] += f" {token} end"
+    spans = {(r.doc_id, s) for r in secret_scan.find_secrets(frame(spark, texts)).collect() for s in r.spans.split(",") if "random" in s}
+    right = spans & set(planted.items())
+    assert len(spans - right) <= 0.02 * len(spans) and len(right) >= 0.75 * len(planted)
+
+
+def test_secrets_of_very_long_and_repeated_rows(spark):
+    rng = random.Random(3)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = "".join(rng.choices(alnum, k=120))
+    long = "ordinary words of a text " * 40_000 + token + " and more"
+    df = frame(spark, [long, long, "words"])
+    df = df.unionByName(df.filter("doc_id = 0"))
+    rows = secret_scan.find_secrets(df).collect()
+    assert sorted(r.n_random for r in rows) == [0, 1, 1, 1]
+    assert {r.spans for r in rows if r.n_random} == {f"random:{25 * 40_000}:{25 * 40_000 + 120}"}
+
+
+def test_decoys_look_like_their_strings():
+    for body in ("aB3dE6gH1jK4mN7pQ0sT", "abc_def_123_ghi_456_x", "QWERTY0123456789QWERTY==", "deadbeef0123456789ab1"):
+        made = secret_scan.decoy(body, ["some", "ordinary", "words"])
+        assert len(made) == len(body) and any(c.isdigit() for c in made)
+        assert made.islower() == body.islower() and ("_" in made) == ("_" in body)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
