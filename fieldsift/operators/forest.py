@@ -14,7 +14,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import scratch, scratch_path
 
 NO_SPLIT = {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1}
 
@@ -52,13 +52,15 @@ def prune_forest(
     spark: SparkSession, forest: RandomForestClassificationModel, least: int
 ) -> RandomForestClassificationModel:
     """The forest without splits of nodes that hold fewer than ``least`` notes."""
-    path = shared_path(spark, "forest")
-    forest.write().save(f"{path}/grown")
-    nodes = spark.read.parquet(f"{path}/grown/data")
-    prune_nodes(nodes, least).write.parquet(f"{path}/pruned/data")
-    for part in ("metadata", "treesMetadata"):
-        reader = spark.read.text if part == "metadata" else spark.read.parquet
-        table = reader(f"{path}/grown/{part}").coalesce(1)
-        writer = table.write.text if part == "metadata" else table.write.parquet
-        writer(f"{path}/pruned/{part}")
-    return RandomForestClassificationModel.load(f"{path}/pruned")
+    with scratch(spark):
+        path = scratch_path(spark, "forest")
+        forest.write().save(f"{path}/grown")
+        nodes = spark.read.parquet(f"{path}/grown/data")
+        prune_nodes(nodes, least).write.parquet(f"{path}/pruned/data")
+        for part in ("metadata", "treesMetadata"):
+            reader = spark.read.text if part == "metadata" else spark.read.parquet
+            table = reader(f"{path}/grown/{part}").coalesce(1)
+            writer = table.write.text if part == "metadata" else table.write.parquet
+            writer(f"{path}/pruned/{part}")
+        # The trees are now held by the driver.
+        return RandomForestClassificationModel.load(f"{path}/pruned")

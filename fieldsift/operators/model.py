@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import MIN_LEAF, MIN_SPLIT, N_TREES, SEED
 from ..functions.text import clean_note
-from ..session import stage
+from ..session import scratch, stage
 from .dataset import class_weights
 from .features import (
     TfidfModel,
@@ -115,11 +115,12 @@ class NoteClassifier:
             "note_id", "output", _model_text("input", clean).alias("text")
         )
         classes = label_classes(train)
-        # Notes are cleaned and cut into terms once, for both steps.
-        grams = gram_table(notes, "text", "note_id", "output")
-        tfidf = TfidfModel.fit_grams(grams, **vocabulary_options)
-        features = labelled_features(tfidf.transform_grams(grams), tfidf, classes)
-        forest = fit_forest(stage(features, "features"), n_trees, tree_depth, seed)
+        with scratch(train.sparkSession):
+            # Notes are cleaned and cut into terms once, for both steps.
+            grams = gram_table(notes, "text", "note_id", "output")
+            tfidf = TfidfModel.fit_grams(grams, **vocabulary_options)
+            features = labelled_features(tfidf.transform_grams(grams), tfidf, classes)
+            forest = fit_forest(stage(features, "features"), n_trees, tree_depth, seed)
         return cls(tfidf, forest, classes, clean)
 
     def predict(self, notes: DataFrame, text: str = "input") -> DataFrame:
@@ -159,23 +160,26 @@ def cross_validate(
     notes = folded.where(F.col("fold").isNotNull()).select(
         "note_id", "output", "fold", _model_text("input", clean).alias("text")
     )
-    grams = gram_table(notes, "text", "note_id", "output", "fold")
-    models = {
-        fold: TfidfModel.from_table(table)
-        for fold, table in fold_vocabularies(grams, "fold", **vocabulary_options).items()
-    }
-    classes = label_classes(grams)
-    joint = joint_vocabulary(list(models.values()))
-    counted = joint.count_grams(grams, run_grams("runs")).drop("runs")
-    counted = stage(counted, "fold_counts")
+    with scratch(folded.sparkSession):
+        grams = gram_table(notes, "text", "note_id", "output", "fold")
+        models = {
+            fold: TfidfModel.from_table(table)
+            for fold, table in fold_vocabularies(grams, "fold", **vocabulary_options).items()
+        }
+        classes = label_classes(grams)
+        joint = joint_vocabulary(list(models.values()))
+        counted = joint.count_grams(grams, run_grams("runs")).drop("runs")
+        # The scores are made of it when they are read.
+        counted = stage(counted, "fold_counts", keep=True)
 
     def weighted(fold: int, rows: DataFrame) -> DataFrame:
         return models[fold].weigh(models[fold].narrow(rows, joint))
 
     def fit(fold: int) -> RandomForestClassificationModel:
         train = weighted(fold, counted.where(F.col("fold") != fold))
-        features = stage(labelled_features(train, models[fold], classes), "features")
-        return fit_forest(features, n_trees, tree_depth, seed)
+        with scratch(folded.sparkSession):
+            features = stage(labelled_features(train, models[fold], classes), "features")
+            return fit_forest(features, n_trees, tree_depth, seed)
 
     target = inheritable_thread_target(folded.sparkSession)(fit)
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:

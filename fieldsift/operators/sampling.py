@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import EXAMPLES_PER_CATEGORY, N_FOLDS, SEED, TEST_SIZE
+from ..session import scratch
 from .ranking import (
     SORT_LIMIT,
     keys_at_ranks,
@@ -58,17 +59,18 @@ def stratified_split(
     if not 0.0 < test_size < 1.0:
         raise ValueError(f"test_size must be between 0 and 1, got {test_size}")
     value = seeded_value(seed, F.col("note_id"))
-    keys = rank_keys(df, stratum, value)
-    ranges = stratum_ranges(keys)
-    wanted = (
-        test_quotas(ranges.select("stratum", "n"), test_size)
-        .where("quota > 0")
-        .select("stratum", F.lit(0).alias("slot"), F.col("quota").alias("rank"))
-    )
-    last = keys_at_ranks(keys, ranges, wanted, sort_limit).select(
-        F.col("stratum").alias(stratum),
-        F.struct("value", "note_id").alias("_last"),
-    )
+    with scratch(df.sparkSession):
+        keys = rank_keys(df, stratum, value)
+        ranges = stratum_ranges(keys)
+        wanted = (
+            test_quotas(ranges.select("stratum", "n"), test_size)
+            .where("quota > 0")
+            .select("stratum", F.lit(0).alias("slot"), F.col("quota").alias("rank"))
+        )
+        last = keys_at_ranks(keys, ranges, wanted, sort_limit).select(
+            F.col("stratum").alias(stratum),
+            F.struct("value", "note_id").alias("_last"),
+        )
     key = F.struct(value.alias("value"), F.col("note_id"))
     return (
         df.join(F.broadcast(last), stratum, "left")
@@ -96,7 +98,20 @@ def stratified_folds(
     well as per stratum.
     """
     value = seeded_value(seed, F.col("note_id"))
-    keys = rank_keys(df, stratum, value)
+    with scratch(df.sparkSession):
+        cuts, empty = _fold_cuts(rank_keys(df, stratum, value), n_folds, stratum, sort_limit)
+    return (
+        slots_at_or_above(df, cuts, stratum, value)
+        .join(F.broadcast(empty), stratum, "left")
+        .withColumn("fold", (F.col("slot") + F.coalesce("_skipped", F.lit(0))).cast("int"))
+        .drop("slot", "_skipped")
+    )
+
+
+def _fold_cuts(
+    keys: DataFrame, n_folds: int, stratum: str, sort_limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """Last keys of the folds, and the number of empty folds before the first one."""
     earlier = Window.orderBy("id_lo").rowsBetween(Window.unboundedPreceding, -1)
     # One row per stratum reaches this unpartitioned window.
     ranges = stratum_ranges(keys)
@@ -135,14 +150,7 @@ def stratified_folds(
             ),
         )["skipped"].alias("_skipped"),
     )
-    return (
-        slots_at_or_above(
-            df, keys_at_ranks(keys, ranges, cuts, sort_limit), stratum, value
-        )
-        .join(F.broadcast(empty), stratum, "left")
-        .withColumn("fold", (F.col("slot") + F.coalesce("_skipped", F.lit(0))).cast("int"))
-        .drop("slot", "_skipped")
-    )
+    return keys_at_ranks(keys, ranges, cuts, sort_limit), empty
 
 
 def _length_keys(
@@ -232,15 +240,16 @@ def fewshot_by_stride(
 
     A stratum with no more than ``per_category`` notes is taken whole.
     """
-    keys, ranges, sizes = _length_keys(df, stratum)
-    step = F.floor(F.col("n") / per_category)
-    spaced = sizes.where(F.col("n") > per_category).select(
-        "stratum",
-        step.alias("step"),
-        F.explode(F.sequence(F.lit(0), F.lit(per_category - 1))).alias("slot"),
-    ).select("stratum", "slot", (F.col("slot") * F.col("step") + 1).alias("rank"))
-    wanted = spaced.unionByName(_every_row(sizes, per_category))
-    picked = keys_at_ranks(keys, ranges, wanted, sort_limit).select(
-        "stratum", "slot", "note_id"
-    )
+    with scratch(df.sparkSession):
+        keys, ranges, sizes = _length_keys(df, stratum)
+        step = F.floor(F.col("n") / per_category)
+        spaced = sizes.where(F.col("n") > per_category).select(
+            "stratum",
+            step.alias("step"),
+            F.explode(F.sequence(F.lit(0), F.lit(per_category - 1))).alias("slot"),
+        ).select("stratum", "slot", (F.col("slot") * F.col("step") + 1).alias("rank"))
+        wanted = spaced.unionByName(_every_row(sizes, per_category))
+        picked = keys_at_ranks(keys, ranges, wanted, sort_limit).select(
+            "stratum", "slot", "note_id"
+        )
     return _examples(df, picked, sizes, stratum, per_category)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.labels import parse_category
 from ..operators.history import category_counts
 from ..plans.predict import predict_notes, predict_tiered, rejected_input
-from ..session import stage
+from ..session import scratch, stage
 from ..sources import artifacts, files
 from ..sources.prediction_log import log_rows, save_predictions
 from ..sources.snapshots import read_snapshot, write_snapshot
@@ -65,7 +65,8 @@ def classify_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         name = _name(batch_id)
         predicted = predict_notes(batch, scorer).where("status = 'ok'")
-        save_predictions(log_rows(predicted), csv_path, jsonl_path, name)
+        with scratch(batch.sparkSession):
+            save_predictions(log_rows(predicted), csv_path, jsonl_path, name)
         _write_rejects(batch, rejects, name)
 
     return _start(notes, write, checkpoint)
@@ -110,14 +111,15 @@ def classify_stream_tiered(
         if version not in loaded:
             loaded.clear()
             loaded[version] = artifacts.load_classifier(spark, model_path, version)
-        # Read once: both the outputs and the answers come from these notes.
-        rows = stage(batch.select("note_id", "rep_note"), "stream-notes")
-        found = predict_tiered(rows, loaded[version], outputs(rows) if outputs else None)
-        found = found.withColumn("model_version", F.lit(version).cast("bigint"))
-        folder = f"{results_path}/batch_id={name}"
-        found.write.mode("overwrite").parquet(folder)
-        results = spark.read.schema(RESULT_SCHEMA).parquet(folder)
-        save_predictions(log_rows(results.where("status = 'ok'")), csv_path, jsonl_path, name)
+        with scratch(spark):
+            # Read once: both the outputs and the answers come from these notes.
+            rows = stage(batch.select("note_id", "rep_note"), "stream-notes")
+            found = predict_tiered(rows, loaded[version], outputs(rows) if outputs else None)
+            found = found.withColumn("model_version", F.lit(version).cast("bigint"))
+            folder = f"{results_path}/batch_id={name}"
+            found.write.mode("overwrite").parquet(folder)
+            results = spark.read.schema(RESULT_SCHEMA).parquet(folder)
+            save_predictions(log_rows(results.where("status = 'ok'")), csv_path, jsonl_path, name)
 
     return _start(notes, write, checkpoint)
 
