@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -43,27 +44,21 @@ LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
-# A space next to another white space: such texts are not cut at spaces alone.
-_wide_space = re.compile(r"\s | \s").search
-
-
-class Chunks(Memo):
-    """Ids of what stands between single spaces; long ones are not kept."""
-
-    LONGEST = 64
-
-    def keep(self, word: str, found: object) -> None:
-        if len(word) <= self.LONGEST:
-            super().keep(word, found)
+# Characters of the texts that are encoded together, and new words of one call.
+TOGETHER, CALL = 1 << 22, 4096
+# Words that are kept, up to twice as many.
+KEPT = 1 << 19
+# A word that a line break before or after it leaves as it is.
+_plain = re.compile(r" ?\S+").fullmatch
 
 
 class LibraryEncoder:
     """Ids as the tokenizers library gives them, each word encoded once in a while.
 
     The library splits a text at special tokens and then into words, which it
-    merges one by one; so ids are kept by word. No word goes beyond a single
-    space, which belongs to the word after it, so they are kept as well for all
-    that stands between two spaces.
+    merges one by one; so ids are kept by word. The words of many texts are
+    looked up together, each distinct one once, and new ones are handed to the
+    library as lines of one text, cut again at the id of the line break.
     """
 
     def __init__(self, path: str):
@@ -75,26 +70,59 @@ class LibraryEncoder:
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.size = self.library.get_vocab_size()
+        self.line_break = self._library(["\n"])[0]
         self.memo = Memo(lambda word: self._ids([word])[0])
+        self.memo.LIMIT = KEPT
         self.memo.fill = self._ids
-        self.first = Chunks(self._chunk)
-        self.later = Chunks(lambda chunk: self._chunk(" " + chunk))
 
-    def _chunk(self, text: str) -> bytes:
-        return b"".join(self.memo.all(pieces(text)))
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if any(s in text for s in self.special):
-            return self._ids([text])[0]
-        if _wide_space(text) or text[:1] == " " or text[-1:] == " ":
-            return self._chunk(text)
-        first, *later = text.split(" ")
-        return b"".join([*self.first.all([first]), *self.later.all(later)])
+    def _ids(self, words: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        lines = [w for w in words if _plain(w)] if len(self.line_break) == 4 else []
+        calls = [lines[at : at + CALL] for at in range(0, len(lines), CALL)]
+        for call, data in zip(calls, self._library(["\n".join(c) for c in calls]), strict=True):
+            ids = np.frombuffer(data, "<u4")
+            cuts = np.flatnonzero(ids == np.frombuffer(self.line_break, "<u4")[0]).tolist()
+            if len(cuts) == len(call) - 1:  # else a word holds that id, and all go one by one
+                edges = zip([0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), len(data)], strict=True)
+                out.update(zip(call, (data[a:b] for a, b in edges), strict=True))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._library(rest), strict=True))
+        return [out[w] for w in words]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        split = [pieces(t) for t in texts]
+        words = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
+        values = self.memo.all(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts = np.cumsum(sizes) - sizes
+        code = words.indices.to_numpy()
+        own = sizes[code]
+        ends = np.cumsum(own)
+        place = np.repeat(starts[code] - (ends - own), own) + np.arange(own.sum())
+        data = np.frombuffer(b"".join(values), "<u4")[place].tobytes()
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])].tolist()
+        return [data[4 * a : 4 * b] for a, b in zip(upto, upto[1:], strict=False)]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            special = any(s in text for s in self.special)
+            if held and (special or size >= TOGETHER):
+                yield from self._together(held)
+                held, size = [], 0
+            if special:
+                yield from self._library([text])
+            else:
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self._together(held)
 
 
 @lru_cache(maxsize=1)
@@ -137,7 +165,8 @@ def _encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
         kind = "<u2" if max(own.size, end + 1) <= 1 << 16 else "<u4"
         totals = np.zeros(max(own.size, end + 1), np.int64)
         for batch in batches:
-            found = [own.encode(v.as_py() or "") + last for v in batch.column(1)]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = [ids + last for ids in own.encode_all(texts)]
             ids = np.frombuffer(b"".join(found), "<u4")
             totals += np.bincount(ids, minlength=len(totals))
             data, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
