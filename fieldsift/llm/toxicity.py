@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers read a clause word by word: insults (weighted stems), threats,
-targets, negations and reported speech. Composed, they give a clause a weight:
-an insult counts by the weight of its stem, less after a negation, more with a
-target; a threat counts if a target follows; all counts less in reported
-speech. A document's matched clauses are summed up in four numbers, and a
+Each word of a clause becomes a symbol: insult (with the weight of its stem),
+threat, target, negation, reporting word or other. Five transducers are tables
+over these symbols: negation marks the words within its reach; insults count by
+their weight, less if marked; a threat that is not marked counts if a target
+follows; a target in the clause and reported speech weigh all of it. They are
+composed once, by product construction, into one table, and a clause is a walk
+through it. A document's matched clauses are summed up in four numbers, and a
 logistic curve gives the score.
 
 The insult stems are beginnings of words, and whole words, that training labels
@@ -18,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -57,6 +60,90 @@ def _stems(words: set[str]) -> set[str]:
     return out | {w + " " for w in words if 2 <= len(w) <= LONGEST}
 
 
+# Symbols of a clause, and those that the negation transducer adds.
+OTHER, INSULT, THREATEN, TARGET, NEGATION, REPORT, DENIED_INSULT, DENIED_THREAT = range(8)
+SYMBOLS = range(6)
+LISTED = (
+    {w: REPORT for w in REPORTS}
+    | {w: TARGET for w in TARGETS}
+    | {w: THREATEN for w in THREATS}
+    | {w: NEGATION for w in NEGATIONS}
+)
+
+
+@dataclass(frozen=True)
+class Machine:
+    """A transducer as a table; states are numbered from 0, where it starts.
+
+    ``arcs[state][symbol]`` is (next state, symbol handed on, factor of the
+    symbol's weight, weight of its own); ``final[state]`` weighs the clause.
+    """
+
+    arcs: tuple[tuple[tuple[int, int, float, float], ...], ...]
+    final: tuple[float, ...]
+
+
+def machine(states: int, arc, final=lambda state: 1.0) -> Machine:
+    symbols = range(8)
+    return Machine(tuple(tuple(arc(q, s) for s in symbols) for q in range(states)), tuple(map(final, range(states))))
+
+
+def _negation(state: int, symbol: int) -> tuple[int, int, float, float]:
+    """The state is the number of words that the last negation still reaches."""
+    left = max(0, state - 1)
+    if symbol == NEGATION:
+        return REACH + 1, symbol, 1.0, 0.0
+    marked = {INSULT: DENIED_INSULT, THREATEN: DENIED_THREAT}.get(symbol, symbol)
+    return left, marked if left else symbol, 1.0, 0.0
+
+
+def _insult(state: int, symbol: int) -> tuple[int, int, float, float]:
+    return 0, symbol, {INSULT: 1.0, DENIED_INSULT: NEGATED}.get(symbol, 0.0), 0.0
+
+
+def _threat(state: int, symbol: int) -> tuple[int, int, float, float]:
+    """State 1 waits for the target of a threat."""
+    if symbol == TARGET and state:
+        return 0, symbol, 1.0, THREAT
+    return {THREATEN: 1, DENIED_THREAT: 0}.get(symbol, state), symbol, 1.0, 0.0
+
+
+def _seen(wanted: int):
+    """State 1: the symbol has been met."""
+    return lambda state, symbol: (int(state or symbol == wanted), symbol, 1.0, 0.0)
+
+
+MACHINES = (
+    machine(REACH + 2, _negation),
+    machine(1, _insult),
+    machine(2, _threat),
+    machine(2, _seen(TARGET), lambda state: AIMED if state else 1.0),
+    machine(2, _seen(REPORT), lambda state: REPORTED if state else 1.0),
+)
+
+
+def compose(first: Machine, second: Machine) -> Machine:
+    """What ``first`` hands on is read by ``second``; only states that are reached."""
+    places, open_, arcs, final = {(0, 0): 0}, [(0, 0)], [], []
+    for a, b in open_:
+        row = []
+        for symbol in range(8):
+            to_a, handed, factor_a, own_a = first.arcs[a][symbol]
+            to_b, out, factor_b, own_b = second.arcs[b][handed]
+            if (to_a, to_b) not in places:
+                places[to_a, to_b] = len(places)
+                open_.append((to_a, to_b))
+            row.append((places[to_a, to_b], out, factor_a * factor_b, own_a + own_b))
+        arcs.append(tuple(row))
+        final.append(first.final[a] * second.final[b])
+    return Machine(tuple(arcs), tuple(final))
+
+
+# The composed grammar: next state, factor and own weight by state and symbol.
+COMPOSED = reduce(compose, MACHINES)
+ARCS = [[(q, factor, own) for q, _, factor, own in row[: len(SYMBOLS)]] for row in COMPOSED.arcs]
+
+
 @dataclass
 class Grammar:
     """Weights of insult stems, and the curve over the four clause sums."""
@@ -83,24 +170,13 @@ class Grammar:
         return best
 
     def clause(self, words: list[str]) -> float:
-        """Weight of one clause: the composed transducers, read once from left to right."""
-        total, negated, threat, target, reported = 0.0, 0, False, False, False
+        """Weight of one clause: a walk through the composed table."""
+        total, state = 0.0, 0
         for word in words:
-            negated = max(0, negated - 1)
             weight = self.insult(word)
-            if weight:
-                total += weight * (NEGATED if negated else 1.0)
-            elif word in NEGATIONS:
-                negated = REACH + 1
-            elif word in THREATS:
-                threat = not negated
-            elif word in TARGETS:
-                target = True
-                if threat:
-                    total, threat = total + THREAT, False
-            elif word in REPORTS:
-                reported = True
-        return total * (AIMED if target else 1.0) * (REPORTED if reported else 1.0)
+            state, factor, own = ARCS[state][INSULT if weight else LISTED.get(word, OTHER)]
+            total += weight * factor + own
+        return total * COMPOSED.final[state]
 
     def features(self, text: str, finder: ahocorasick.Automaton | None) -> tuple[float, ...]:
         """Log of the clause sum, largest clause, logs of matched clauses and of the sum by words."""

@@ -269,6 +269,38 @@ def test_decoys_look_like_their_strings():
         assert made.islower() == body.islower() and ("_" in made) == ("_" in body)
 
 
+def plain_clause(grammar, words):
+    """The five rules as one loop with a flag each."""
+    total, negated, threat, target, reported = 0.0, 0, False, False, False
+    for word in words:
+        negated = max(0, negated - 1)
+        weight = grammar.insult(word)
+        if weight:
+            total += weight * (toxicity.NEGATED if negated else 1.0)
+        elif word in toxicity.NEGATIONS:
+            negated = toxicity.REACH + 1
+        elif word in toxicity.THREATS:
+            threat = not negated
+        elif word in toxicity.TARGETS:
+            target = True
+            if threat:
+                total, threat = total + toxicity.THREAT, False
+        elif word in toxicity.REPORTS:
+            reported = True
+    return total * (toxicity.AIMED if target else 1.0) * (toxicity.REPORTED if reported else 1.0)
+
+
+def test_composed_table_equals_the_rules():
+    grammar = toxicity.Grammar({"foo": 2.0, "foob": 3.5, "kill ": 1.5})
+    rng = random.Random(9)
+    words = ["foo", "foobar", "kill", "hurt", "you", "them", "not", "never", "said", "a", "walk", "kills"]
+    for _ in range(3000):
+        clause = rng.choices(words, k=rng.randrange(0, 14))
+        assert grammar.clause(clause) == pytest.approx(plain_clause(grammar, clause))
+    states = len(toxicity.COMPOSED.arcs)
+    assert 16 < states <= (toxicity.REACH + 2) * 2 * 2 * 2
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
