@@ -44,10 +44,13 @@ HEADLINE = {
     "ngrams": 3,
     "tfidf_vocab": 1,
     "tfidf": 1,
+    "cv_vocabularies": 0,
+    "predict_documents": 1,
     "log_write_read": 1,
     "log_category_counts": 3,
     "recent_history": 3,
     "stream_predict": 1,
+    "stream_counts": 1,
     "rf_train_score": 0,
 }
 # Rates: query -> the notes it goes through.
