@@ -96,7 +96,7 @@ def gram_table(df: DataFrame, text: str = "input", *keep: str) -> DataFrame:
 def corpus_frequencies(grams: DataFrame, min_df: int = 1, fold: str | None = None) -> DataFrame:
     """Notes with the term and occurrences over all notes of a :func:`gram_table`.
 
-    (term, df, cf); with the name of a ``fold`` column of ``N`` values, arrays
+    (term, df, cf); with the name of a ``fold`` column, numbered from 0, arrays
     ``dfs`` and ``cfs`` hold the same by fold. With a ``min_df`` of 2 or more,
     most terms of one note only are dropped before the shuffle; the rest are
     still to be tested.
