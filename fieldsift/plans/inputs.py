@@ -139,12 +139,10 @@ def view_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same view on its source table read as a stream of files."""
     source, _, select = VIEWS[name]
     schema = table(spark, sf_dir, source).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{source}.parquet")
-        .parquet(sf_dir)
-        .selectExpr(*select)
-    )
+    # A pattern, since a plain path of a stream must be a folder; the table may
+    # be a file or a folder of files.
+    path = f"{sf_dir}/{{{source}}}.parquet"
+    return spark.readStream.schema(schema).parquet(path).selectExpr(*select)
 
 
 def view_sql(name: str) -> str:
