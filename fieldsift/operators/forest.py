@@ -1,4 +1,4 @@
-"""Pruning of fitted forests: the smallest node that may be split.
+"""Pruning of fitted forests, and forests of several fits in one.
 
 Spark's trees know a smallest leaf but no smallest node to split. Nodes are
 split independently of each other, so cutting a grown tree at nodes with too few
@@ -8,6 +8,8 @@ times for a tree counts as often.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel
@@ -48,19 +50,37 @@ def prune_nodes(nodes: DataFrame, least: int) -> DataFrame:
     return pruned.select("treeID", F.struct(*fields).alias("nodeData"))
 
 
-def prune_forest(
-    spark: SparkSession, forest: RandomForestClassificationModel, least: int
+def join_forests(
+    spark: SparkSession, forests: list[RandomForestClassificationModel], least: int
 ) -> RandomForestClassificationModel:
-    """The forest without splits of nodes that hold fewer than ``least`` notes."""
+    """One forest of the trees of some, without splits of nodes below ``least`` notes."""
     with scratch(spark):
         path = scratch_path(spark, "forest")
-        forest.write().save(f"{path}/grown")
-        nodes = spark.read.parquet(f"{path}/grown/data")
+        nodes = trees = None
+        n_trees = 0
+        for i, forest in enumerate(forests):
+            forest.write().save(f"{path}/grown-{i}")
+            both = []
+            for part in ("data", "treesMetadata"):
+                rows = spark.read.parquet(f"{path}/grown-{i}/{part}")
+                tree_id = rows.columns[0]  # its name differs
+                both.append(rows.withColumn(tree_id, F.col(tree_id) + n_trees))
+            nodes = both[0] if nodes is None else nodes.unionByName(both[0])
+            trees = both[1] if trees is None else trees.unionByName(both[1])
+            n_trees += forest.getNumTrees
         prune_nodes(nodes, least).write.parquet(f"{path}/pruned/data")
-        for part in ("metadata", "treesMetadata"):
-            reader = spark.read.text if part == "metadata" else spark.read.parquet
-            table = reader(f"{path}/grown/{part}").coalesce(1)
-            writer = table.write.text if part == "metadata" else table.write.parquet
-            writer(f"{path}/pruned/{part}")
+        # One row per tree, and one line.
+        trees.coalesce(1).write.parquet(f"{path}/pruned/treesMetadata")
+        about = json.loads(spark.read.text(f"{path}/grown-0/metadata").first()[0])
+        about["numTrees"] = about["paramMap"]["numTrees"] = n_trees
+        line = spark.createDataFrame([(json.dumps(about),)], "value string")
+        line.coalesce(1).write.text(f"{path}/pruned/metadata")
         # The trees are now held by the driver.
         return RandomForestClassificationModel.load(f"{path}/pruned")
+
+
+def prune_forest(
+    spark: SparkSession, forest: RandomForestClassificationModel, least: int
+) -> RandomForestClassificationModel:
+    """The forest without splits of nodes that hold fewer than ``least`` notes."""
+    return join_forests(spark, [forest], least)
