@@ -1,33 +1,49 @@
 """TF-IDF features, computed inside each row.
 
 Tokens, counts, weights and the row norm never leave their row, so neither the
-texts nor the term lists are shuffled. Only the vocabulary fit shuffles: it drops
-terms of a single note by a filter of bounded size, and sums the rest per term
-on the map side first. Counts by fold give the vocabularies of all folds of a
-cross-validation at once.
+texts nor the term lists are shuffled. Only the vocabulary fit shuffles: sums by
+slot of a hash bound the occurrences of every term, and what cannot be among the
+most frequent is dropped before terms are counted, on the map side first. Counts
+by fold give the vocabularies of all folds of a cross-validation at once.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from ..fixed_values import MAX_DF, MAX_FEATURES, MIN_DF
 from ..functions.text import bind, is_ascii, strip_accents
 from ..session import stage
-from .gram_filter import keep_met_twice, met_twice
+from .gram_filter import SUMS, keep_met_twice, met_twice, pair_slots, slots_of, word_hashes
 
 # The vocabulary is held by the driver and shipped to every task.
 LARGEST_VOCABULARY = 100_000
 # Folds that terms are counted by.
 MOST_FOLDS = 100
+# Words that grams are counted of at a time; a longer note is taken alone.
+PART = 1 << 18
+# Slots that terms are counted in, for each term that is wanted, and at most.
+SLOTS_A_TERM, MOST_SLOTS = 2, 1 << 17
 # Distinct labels that a classifier may have.
 LARGEST_LABEL_SET = 1_000
 
@@ -50,37 +66,78 @@ def ngrams(text: Column) -> Column:
             F.zip_with(
                 F.slice(words, F.lit(1), pairs),
                 F.slice(words, F.lit(2), pairs),
-                lambda left, right: F.concat_ws(" ", left, right),
+                lambda left, right: F.concat(left, F.lit(" "), right),
             ),
         )
 
     return bind(tokens(F.coalesce(text, F.lit(""))), with_pairs)
 
 
-def gram_runs(grams: Column) -> Column:
-    """Each distinct gram once, with its number: array<struct<term, tf>> in order.
+@dataclass(frozen=True)
+class _Runs:
+    """Distinct grams of a batch of notes: note, first word, second word (0 for none, else from 1), number.
 
-    Equal grams of the sorted array are next to each other, so their numbers are
-    the lengths of its runs.
+    They are in the order of note and gram: a space is below all characters of
+    words, so grams are in the order of their two words.
     """
 
-    def cut(terms: Column) -> Column:
-        size = F.size(terms)
-        starts = F.filter(
-            F.sequence(F.lit(0), size),
-            lambda i: (i == 0) | (i == size) | (F.get(terms, i) != F.get(terms, i - 1)),
-        )
-        return bind(
-            starts,
-            lambda at: F.transform(
-                F.slice(at, F.lit(1), F.size(at) - 1),
-                lambda start, j: F.struct(
-                    F.get(terms, start).alias("term"), (F.get(at, j + 1) - start).alias("tf")
-                ),
-            ),
-        )
+    notes: int
+    words: pa.Array
+    own: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    times: np.ndarray
 
-    return bind(F.sort_array(grams), cut)
+    @classmethod
+    def of(cls, lists: pa.ListArray) -> "_Runs":
+        sizes = pc.list_value_length(lists).to_numpy()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        coded = lists.flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        ids = rank[coded.indices.to_numpy()]
+        base = len(order) + 1
+        single = (owner * base + ids) * base
+        pairs = (single[:-1] + ids[1:] + 1)[owner[1:] == owner[:-1]]
+        found, times = np.unique(np.concatenate([single, pairs]), return_counts=True)
+        rest, second = np.divmod(found, base)
+        return cls(len(sizes), coded.dictionary.take(order), *np.divmod(rest, base), second, times)
+
+    def slots(self) -> np.ndarray:
+        hashes = word_hashes(self.words)
+        return pair_slots(hashes[self.first], np.append(hashes, np.uint64(0))[self.second - 1])
+
+    def where(self, kept: np.ndarray) -> "_Runs":
+        return _Runs(self.notes, self.words, self.own[kept], self.first[kept], self.second[kept], self.times[kept])
+
+    def terms(self) -> pa.Array:
+        after = self.words.take(pa.array(self.second - 1, mask=self.second == 0))
+        return pc.binary_join_element_wise(self.words.take(pa.array(self.first)), after, " ", null_handling="skip")
+
+    def ends(self) -> pa.Array:
+        return pa.array(np.searchsorted(self.own, np.arange(self.notes + 1)), pa.int32())
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], _Runs]]:
+    """(other columns, runs) of parts of about PART words; the last column has lists of words."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(batch.num_columns - 1)).to_numpy()
+        part, long = (np.cumsum(sizes) - sizes) // PART, sizes > PART
+        cuts = 1 + np.flatnonzero((part[1:] != part[:-1]) | long[1:] | long[:-1])
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+            *kept, lists = batch.slice(start, end - start).columns
+            yield kept, _Runs.of(lists)
+
+
+@F.arrow_udf(ArrayType(StructType().add("term", StringType()).add("tf", IntegerType())))
+def gram_runs(lists: pa.Array) -> pa.Array:
+    """Each distinct gram of a list of words once, with its number, in order."""
+    found = []
+    for _, runs in _parts([pa.RecordBatch.from_arrays([pa.array(range(len(lists))), lists], ["at", "words"])]):
+        cells = pa.StructArray.from_arrays([runs.terms(), pa.array(runs.times, pa.int32())], ["term", "tf"])
+        found.append(pa.ListArray.from_arrays(runs.ends(), cells))
+    return pa.concat_arrays(found)
 
 
 def run_grams(runs: str) -> Column:
@@ -89,8 +146,15 @@ def run_grams(runs: str) -> Column:
 
 
 def gram_table(df: DataFrame, text: str = "input", *keep: str) -> DataFrame:
-    """Staged (keep..., runs): the notes' grams, so that texts are tokenised once."""
-    return stage(df.select(*keep, gram_runs(ngrams(F.col(text))).alias("runs")), "grams")
+    """(keep..., words, runs): the notes' words, staged, so that texts are tokenised once.
+
+    ``runs`` is an array<struct<term, tf>> of the words' grams. It is made when
+    it is read; counts and weights are made from the words.
+    """
+    # The first half of the grams, and one more, are the words.
+    words = bind(ngrams(F.col(text)), lambda g: F.slice(g, F.lit(1), F.ceil(F.size(g) / 2).cast("int")))
+    staged = stage(df.select(*keep, words.alias("words")), "grams")
+    return staged.withColumn("runs", gram_runs("words"))
 
 
 def corpus_frequencies(grams: DataFrame, min_df: int = 1, fold: str | None = None) -> DataFrame:
@@ -105,6 +169,11 @@ def corpus_frequencies(grams: DataFrame, min_df: int = 1, fold: str | None = Non
     rows = rows.select(*([fold] if fold else []), "run.term", "run.tf")
     if min_df >= 2:
         rows = keep_met_twice(rows, "term", met_twice(grams, "runs.term"))
+    return _counted(rows, grams, fold)
+
+
+def _counted(rows: DataFrame, grams: DataFrame, fold: str | None) -> DataFrame:
+    """Frequencies of the terms of exploded runs."""
     if not fold:
         return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     own = [F.col(fold) == i for i in range(_fold_count(grams, fold))]
@@ -114,6 +183,72 @@ def corpus_frequencies(grams: DataFrame, min_df: int = 1, fold: str | None = Non
     )
 
 
+def slot_sums(grams: DataFrame) -> DataFrame:
+    """(slot, n): occurrences of all terms of a slot, at most SUMS rows.
+
+    No term of a slot exceeds them. The table has as many slots whatever the
+    number of notes; the sums grow with the notes as those of frequent terms do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SUMS, np.int64)
+        for _, runs in _parts(batches):
+            sums += np.bincount(runs.slots(), runs.times, SUMS).astype(np.int64)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], ["slot", "n"])
+
+    parts = grams.select("words").mapInArrow(run, "slot int, n long")
+    return parts.groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def _rows_of_slots(grams: DataFrame, wanted: np.ndarray, *keep: str) -> DataFrame:
+    """(keep..., term, tf) of the runs whose slots are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kept, runs in _parts(batches):
+            runs = runs.where(wanted[runs.slots()])
+            own = pa.array(runs.own)
+            columns = [*(c.take(own) for c in kept), runs.terms(), pa.array(runs.times)]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "term", "tf"])
+
+    rows = grams.select(*keep, "words")
+    schema = StructType(rows.schema.fields[:-1]).add("term", StringType()).add("tf", LongType())
+    return rows.mapInArrow(run, schema)
+
+
+def frequent_terms(
+    grams: DataFrame,
+    least: Callable[[DataFrame], int],
+    max_features: int,
+    min_df: int,
+    fold: str | None = None,
+) -> DataFrame:
+    """Staged :func:`corpus_frequencies` of the terms that can be wanted, and of others.
+
+    ``least`` gives, from such a table, a number of occurrences that all wanted
+    terms of the whole corpus have, 0 if the table does not tell. A term occurs
+    at most as often as all terms of its slot, so slots below are left out. The
+    fullest slots give a first such number; if it is below theirs, more slots
+    are counted.
+    """
+    sums = stage(slot_sums(grams), "slot_sums")
+    low = sums.orderBy(F.desc("n")).limit(SLOTS_A_TERM * max_features).agg(F.min("n")).first()[0] or 0
+    most = max(MOST_SLOTS, 2 * SLOTS_A_TERM * max_features)
+    while True:
+        slots = [r["slot"] for r in sums.where(F.col("n") >= low).select("slot").limit(most + 1).collect()]
+        if len(slots) > most:
+            return stage(corpus_frequencies(grams, min_df, fold), "frequencies")
+        wanted = np.zeros(SUMS, bool)
+        wanted[slots] = True
+        rows = _rows_of_slots(grams, wanted, *([fold] if fold else []))
+        found = stage(_counted(rows, grams, fold), "frequencies")
+        needed = least(found)
+        if needed >= low:
+            return found
+        # Without a number all slots are counted, if they are not too many.
+        low = needed
+
+
 def _fold_count(grams: DataFrame, fold: str) -> int:
     """Folds are numbered from 0; each of them adds two sums to a row."""
     last = grams.agg(F.max(fold)).first()[0]
@@ -122,6 +257,24 @@ def _fold_count(grams: DataFrame, fold: str) -> int:
     return 0 if last is None else last + 1
 
 
+def _check_size(max_features: int) -> None:
+    if not 0 < max_features <= LARGEST_VOCABULARY:
+        raise ValueError(f"max_features must be from 1 to {LARGEST_VOCABULARY}")
+
+
+def _eligible(frequencies: DataFrame, n_notes: int, min_df: int, max_df: float) -> DataFrame:
+    return frequencies.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_notes))
+
+
+def _least_wanted(
+    frequencies: DataFrame, n_notes: int, max_features: int, min_df: int, max_df: float
+) -> int:
+    """Occurrences of the last of the wanted terms, 0 if there are fewer."""
+    top = _eligible(frequencies, n_notes, min_df, max_df).orderBy(F.desc("cf")).limit(max_features)
+    n, cf = top.agg(F.count("*"), F.min("cf")).first()
+    return cf if n == max_features else 0
+
+
 def _most_frequent(
     frequencies: DataFrame,
     n_notes: int,
@@ -129,10 +282,8 @@ def _most_frequent(
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
 ) -> DataFrame:
-    if not 0 < max_features <= LARGEST_VOCABULARY:
-        raise ValueError(f"max_features must be from 1 to {LARGEST_VOCABULARY}")
     top = (
-        frequencies.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_notes))
+        _eligible(frequencies, n_notes, min_df, max_df)
         .orderBy(F.desc("cf"), "term")
         .limit(max_features)
     )
@@ -158,10 +309,11 @@ def vocabulary(
     and at most the share ``max_df`` of them; of equally frequent terms the
     alphabetically first wins. Ids follow the alphabet.
     """
+    _check_size(max_features)
     # The staged files know their number of rows.
-    return _most_frequent(
-        corpus_frequencies(grams, min_df), grams.count(), max_features, min_df, max_df
-    )
+    options = grams.count(), max_features, min_df, max_df
+    found = frequent_terms(grams, lambda t: _least_wanted(t, *options), max_features, min_df)
+    return _most_frequent(found, *options)
 
 
 def fold_vocabularies(
@@ -176,18 +328,25 @@ def fold_vocabularies(
     Terms are counted by fold in one pass; what is outside a fold is the sum
     over all folds less its own.
     """
-    counted = stage(corpus_frequencies(grams, min_df, fold), "fold_frequencies")
+    _check_size(max_features)
     sizes = {r[fold]: r["count"] for r in grams.groupBy(fold).count().collect()}
     n_notes = sum(sizes.values())
 
     def outside(values: str, i: int) -> Column:
         return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x) - F.get(values, F.lit(i))
 
-    return {
-        i: _most_frequent(
-            counted.select("term", outside("dfs", i).alias("df"), outside("cfs", i).alias("cf")),
-            n_notes - n, max_features, min_df, max_df,
+    def without(counted: DataFrame, i: int) -> DataFrame:
+        return counted.select("term", outside("dfs", i).alias("df"), outside("cfs", i).alias("cf"))
+
+    def least(counted: DataFrame) -> int:
+        return min(
+            (_least_wanted(without(counted, i), n_notes - n, max_features, min_df, max_df) for i, n in sizes.items()),
+            default=0,
         )
+
+    counted = frequent_terms(grams, least, max_features, min_df, fold)
+    return {
+        i: _most_frequent(without(counted, i), n_notes - n, max_features, min_df, max_df)
         for i, n in sorted(sizes.items())
     }
 
@@ -235,8 +394,33 @@ class TfidfModel:
         return self._weighted(df, ngrams(F.col(text)))
 
     def transform_grams(self, grams: DataFrame) -> DataFrame:
-        """The same on a :func:`gram_table`, in place of its ``runs``."""
-        return self._weighted(grams, run_grams("runs")).drop("runs")
+        """The same on a :func:`gram_table`, in place of its ``words`` and ``runs``."""
+        return self.weigh(self.count_runs(grams))
+
+    def count_runs(self, grams: DataFrame) -> DataFrame:
+        """``words`` and ``runs`` of a :func:`gram_table` become ``term_ids`` and ``tfs``."""
+        terms = list(self.terms)
+        kept = [c for c in grams.columns if c not in ("words", "runs")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, wanted = pa.array(terms, pa.string()), slots_of(terms)
+            for columns, runs in _parts(batches):
+                # What stands in other slots is not made into strings.
+                runs = runs.where(wanted[runs.slots()])
+                ids = pc.index_in(runs.terms(), known)
+                found = ids.is_valid().to_numpy(zero_copy_only=False)
+                ids, runs = ids.drop_null().to_numpy(), runs.where(found)
+                order = np.lexsort((ids, runs.own))
+                cells = pa.array(ids[order], pa.int32()), pa.array(runs.times[order].astype(float))
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, *(pa.ListArray.from_arrays(runs.ends(), x) for x in cells)],
+                    [*kept, "term_ids", "tfs"],
+                )
+
+        rows = grams.select(*kept, "words")
+        schema = StructType(rows.schema.fields[:-1])
+        schema = schema.add("term_ids", ArrayType(IntegerType())).add("tfs", ArrayType(DoubleType()))
+        return rows.mapInArrow(run, schema)
 
     def count_grams(self, df: DataFrame, grams: Column) -> DataFrame:
         """Add ``term_ids`` and ``tfs``, parallel arrays in id order."""
@@ -352,6 +536,7 @@ __all__ = [
     "TfidfModel",
     "corpus_frequencies",
     "fold_vocabularies",
+    "frequent_terms",
     "gram_runs",
     "gram_table",
     "joint_vocabulary",
@@ -360,6 +545,7 @@ __all__ = [
     "label_classes",
     "ngrams",
     "run_grams",
+    "slot_sums",
     "tokens",
     "vocabulary",
     "weight_rows",

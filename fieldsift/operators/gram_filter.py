@@ -6,6 +6,8 @@ slot was met once is in one note only and needs no shuffle to be dropped. Slots
 are shared, so a few other terms pass as well, which costs work but no result.
 The table has SLOTS entries whatever the number of terms: beyond that many
 distinct terms it drops fewer of them.
+
+Slots of the sums that ``features`` keeps are made of the hashes of a gram's words.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,9 @@ from ..session import stage
 SLOTS = 1 << 24
 # Slots of a row of the filter, and groups that tables are first added in.
 CHUNK, GROUPS = 1 << 15, 64
+# Slots that occurrences are summed by, and odd numbers that mix two words.
+SUMS = 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 PARTS = "chunk int, part int, once binary, twice binary"
 
 
@@ -94,4 +100,26 @@ def keep_met_twice(rows: DataFrame, term: str, met: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["keep_met_twice", "met_twice", "slot"]
+def pair_slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Slots of grams by the 64-bit hashes of their two words, 0 for none."""
+    mixed = first * _MIX[0] + second * _MIX[1]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[2]
+    return (mixed >> np.uint64(64 - SUMS.bit_length() + 1)).astype(np.int32)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes, the same in all tasks."""
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+
+
+def slots_of(terms: list[str]) -> np.ndarray:
+    """A table of SUMS truth values: which slots hold one of the terms."""
+    pairs = [(*t.split(" "), None)[:2] for t in terms]
+    first, second = (pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1))
+    after = np.where(second.is_null().to_numpy(zero_copy_only=False), np.uint64(0), word_hashes(second.fill_null("")))
+    wanted = np.zeros(SUMS, bool)
+    wanted[pair_slots(word_hashes(first), after)] = True
+    return wanted
+
+
+__all__ = ["keep_met_twice", "met_twice", "pair_slots", "slot", "slots_of", "word_hashes"]

@@ -115,6 +115,50 @@ def test_tables_add_up_to_two():
     assert whole["twice"][0].as_py() == pack(counts.sum(axis=0) >= 2)
 
 
+def test_only_terms_that_can_be_wanted_are_counted(corpus, spark):
+    table = X.gram_table(corpus, "input")
+    least = lambda t: X._least_wanted(t, 120, 20, 2, 0.95)
+    found = {r.term: (r.df, r.cf) for r in X.frequent_terms(table, least, 20, 2).collect()}
+    every = {r.term: (r.df, r.cf) for r in X.corpus_frequencies(table).collect()}
+    assert found.items() <= every.items() and 20 <= len(found) < len(every) / 10
+    sums = {r.slot: r.n for r in X.slot_sums(table).collect()}
+    assert sum(sums.values()) == sum(cf for _, cf in every.values())
+    assert all(sums[X.slots_of([t]).argmax()] >= cf for t, (_, cf) in every.items())
+
+
+@pytest.mark.parametrize("options", [{"max_features": 9}, {"max_features": 9, "max_df": 0.04}, {"max_features": 400}])
+def test_more_slots_are_counted_where_the_first_do_not_tell(corpus, options):
+    texts = [r.input for r in corpus.collect()]
+    terms, idf = fitted(texts, **options)
+    model = X.TfidfModel.fit(corpus, **options)
+    assert model.terms == terms and model.idf == pytest.approx(idf)
+
+
+def test_runs_of_parts(monkeypatch):
+    rng = random.Random(8)
+    notes = [[rng.choice("ab ac a_ b cé zz".split()) for _ in range(rng.choice([0, 1, 2, 5, 30]))] for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(notes, pa.list_(pa.string()))], ["i", "words"])
+    for part in (1, 7, 1000):
+        monkeypatch.setattr(X, "PART", part)
+        found = {}
+        for (ids,), runs in X._parts([batch]):
+            cells = list(zip(runs.own.tolist(), runs.terms().to_pylist(), runs.times.tolist()))
+            found |= {i: [(t, n) for own, t, n in cells if own == at] for at, i in enumerate(ids.to_pylist())}
+        for i, words in enumerate(notes):
+            every = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+            assert found[i] == sorted((t, every.count(t)) for t in set(every))
+
+
+def test_counts_of_runs_equal_counts_of_grams(corpus):
+    table = X.gram_table(corpus, "input", "note_id")
+    terms = [r.term for r in X.vocabulary(table, max_features=40).collect()]
+    for some in (terms, terms[::-1], []):
+        model = X.TfidfModel(some, [1.0] * len(some))
+        found = {r.note_id: (r.term_ids, r.tfs) for r in model.count_runs(table).collect()}
+        plain = model.count_grams(table, X.run_grams("runs")).collect()
+        assert found == {r.note_id: (r.term_ids, r.tfs) for r in plain}
+
+
 def test_terms_are_dropped_before_the_shuffle(corpus):
     table = X.gram_table(corpus, "input")
     found = X.corpus_frequencies(table, 2)._jdf.queryExecution().executedPlan().toString()
