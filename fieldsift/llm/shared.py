@@ -8,13 +8,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsift import session
 from fieldsift.session import stage
-from fieldsift.sources.files import full_path
+from fieldsift.sources.files import full_path, store
 
 __all__ = ["col", "files", "fresh", "new_file", "shared_path", "splitmix", "stage", "store", "table"]
 
@@ -53,14 +52,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return full_path(spark, session.shared_path(spark, name))
 
 
-def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder or file below the shared folder."""
-    local = uri.removeprefix("file:")
-    if local.startswith("/"):
-        return pafs.LocalFileSystem(), "/" + local.lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 @contextmanager
 def new_file(uri: str) -> Iterator[pa.NativeFile]:
     """A file that appears under its name only when it is complete.

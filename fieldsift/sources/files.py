@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 
@@ -24,6 +25,14 @@ def full_path(spark: SparkSession, path: str) -> str:
     return hadoop_path(spark, path)[1].toString()
 
 
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder or file below the shared folder, for a task."""
+    local = uri.removeprefix("file:")
+    if local.startswith("/"):
+        return pafs.LocalFileSystem(), "/" + local.lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder; none if there is no such folder."""
     fs, path = hadoop_path(spark, folder)
