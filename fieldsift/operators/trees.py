@@ -7,7 +7,8 @@ Each task grows some trees, level by level, and holds one number for a note and
 tree. A node looks at its own draw of terms only. Large nodes walk through the
 notes that have these terms, all others through the terms of their notes; what
 a node counts is made of the notes that have a term, the rest is the difference
-to the node.
+to the node. Scored are notes where they are, by the trees of one file after the
+other; no process holds the whole forest.
 
 As in Spark's forests, thresholds come from a sample of notes, each tree draws
 notes by a Poisson distribution, impurity is Gini's, and two leaves that predict
@@ -22,16 +23,19 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from ..session import scratch, scratch_path, stage
-from ..sources.files import full_path, store
+from ..sources.files import copy_folder, full_path, store
 
 # Intervals of a term's weights, and notes that their thresholds are taken from.
 BINS, SAMPLE = 32, 10_000
@@ -43,6 +47,8 @@ PLACE_BYTES = 64 << 20
 LARGE_BYTES, COUNTS = 8 << 20, 1 << 21
 # Terms of notes that are walked through at a time, and bits of the number of marks.
 WALK, MARKS = 1 << 18, 25
+# Bytes of notes that are scored by a file of trees, and numbers of a dense table of notes.
+SCORED_BYTES, DENSE = 32 << 20, 1 << 21
 # Gains below are errors of rounding.
 LEAST_GAIN = 1e-12
 
@@ -263,7 +269,7 @@ class Tree:
         """Draws the terms of the nodes of the newest level; False if none is open."""
         rules, counts = self.rules, self.counts[-1]
         size = counts.sum(axis=1)
-        is_open = (size >= rules.least_split) & (counts.max(axis=1) < size) & (self.level < rules.depth)
+        is_open = (size >= rules.least_split) & (counts.max(axis=1) < size) & (self.level < rules.depth) & (rules.n_terms > 0)
         self.open = np.flatnonzero(is_open)
         # Open nodes of the children, by their place in the level.
         self.place = np.where(is_open, np.cumsum(is_open) - 1, -1)
@@ -510,15 +516,152 @@ def _about(spark: SparkSession, kind: str, params: dict, **more) -> str:
     return json.dumps({**about, **more})
 
 
+def _parts_of(files: list[str]) -> list[list[str]]:
+    """Files with all nodes of their trees; those that share a tree stay together."""
+    parts: list[tuple[set, list[str]]] = []
+    for file in files:
+        fs, path = store(file)
+        with fs.open_input_file(path) as source:
+            found = pq.read_table(source, columns=["treeID"])["treeID"].unique().to_pylist()
+        own, names = set(found), [file]
+        for part in [p for p in parts if p[0] & own]:
+            parts.remove(part)
+            own, names = own | part[0], part[1] + names
+        parts.append((own, names))
+    return [names for own, names in parts if own]
+
+
+class _Nodes:
+    """The nodes of some trees: split, children, and shares of the classes."""
+
+    def __init__(self, files: list[str]):
+        tables = []
+        for file in files:
+            fs, path = store(file)
+            with fs.open_input_file(path) as source:
+                rows = pq.read_table(source).combine_chunks()
+            for batch in rows.to_batches():
+                data, split = batch.column(1), batch.column(1).field("split")
+                cut = split.field("leftCategoriesOrThreshold")
+                tables.append(
+                    (
+                        batch.column(0).to_numpy(), data.field("id").to_numpy(), split.field("featureIndex").to_numpy(),
+                        data.field("leftChild").to_numpy(), data.field("rightChild").to_numpy(),
+                        cut.value_lengths().to_numpy(), cut.flatten().to_numpy(),
+                        data.field("impurityStats").flatten().to_numpy().reshape(len(batch), -1),
+                    )
+                )
+        tree, number, term, left, right, cuts, cut, stats = (np.concatenate(x) for x in zip(*tables, strict=True))
+        value = np.zeros(len(tree))
+        value[cuts > 0] = cut
+        order = np.lexsort((number, tree))
+        tree = tree[order]
+        # Trees one after the other, their nodes by number.
+        self.roots = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))
+        base = np.repeat(self.roots, np.diff(np.append(self.roots, len(tree))))
+        self.term, self.value, left, right = term[order], value[order], left[order], right[order]
+        self.leaf = left < 0
+        self.left, self.right = left + base, right + base
+        total = stats[order].sum(axis=1, keepdims=True)
+        self.shares = np.divide(stats[order], total, out=np.zeros_like(stats), where=total > 0)
+
+    def add(self, dense: np.ndarray, sums: np.ndarray) -> None:
+        """Adds the shares of the leaves that the notes of a dense table reach, tree by tree."""
+        at = np.repeat(self.roots[:, None], len(dense), axis=1).ravel()
+        note = np.tile(np.arange(len(dense)), len(self.roots))
+        going = np.flatnonzero(~self.leaf[at])
+        while len(going):
+            here = at[going]
+            low = dense[note[going], self.term[here]] <= self.value[here]
+            at[going] = here = np.where(low, self.left[here], self.right[here])
+            going = going[~self.leaf[here]]
+        for reached in at.reshape(len(self.roots), -1):
+            sums += self.shares[reached]
+
+
+def _scored(files: list[str], n_terms: int, n_classes: int):
+    """(columns..., class, confidence) of notes by (columns..., term_ids, weights)."""
+
+    def score(held: list[pa.RecordBatch], parts: list[list[str]]) -> Iterator[pa.RecordBatch]:
+        sizes = np.concatenate([_cells(h.column("term_ids"))[0] for h in held])
+        terms, values = (np.concatenate([_cells(h.column(c))[1] for h in held]) for c in ("term_ids", "weights"))
+        starts = np.append(0, np.cumsum(sizes))
+        sums = np.zeros((len(sizes), n_classes))
+        some = max(1, DENSE // max(n_terms, 1))
+        for part in parts:
+            nodes = _Nodes(part)
+            for at in range(0, len(sizes), some):
+                own = slice(starts[at], starts[min(at + some, len(sizes))])
+                n = sizes[at : at + some]
+                dense = np.zeros((len(n), max(n_terms, 1)))
+                dense[np.repeat(np.arange(len(n)), n), terms[own]] = values[own]
+                nodes.add(dense, sums[at : at + some])
+        total = sums.sum(axis=1, keepdims=True)
+        sums = np.divide(sums, total, out=np.zeros_like(sums), where=total > 0)
+        best, most = sums.argmax(axis=1), sums.max(axis=1, initial=0.0)
+        ends = np.cumsum([len(h) for h in held])
+        for batch, own in zip(held, np.split(np.arange(len(sizes)), ends[:-1]), strict=True):
+            kept = [c for c in batch.schema.names if c not in ("term_ids", "weights")]
+            columns = [*(batch.column(c) for c in kept), pa.array(best[own], pa.int32()), pa.array(most[own])]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "class", "confidence"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, size = None, [], 0
+        for batch in batches:
+            parts = parts or _parts_of(files)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= SCORED_BYTES:
+                yield from score(held, parts)
+                held, size = [], 0
+        if held:
+            yield from score(held, parts)
+
+    return run
+
+
+class Forest:
+    """A saved forest in Spark's format, whose trees are read where notes are scored."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        about = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+        self.n_terms, self.n_classes, self.getNumTrees = (about[k] for k in ("numFeatures", "numClasses", "numTrees"))
+
+    @cached_property
+    def model(self) -> RandomForestClassificationModel:
+        """The forest in the driver's memory."""
+        return RandomForestClassificationModel.load(self.path)
+
+    @property
+    def trees(self) -> list:
+        return self.model.trees
+
+    def write(self) -> "Forest":
+        return self
+
+    def save(self, path: str) -> None:
+        copy_folder(self.spark, self.path, path)
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """``class`` and ``confidence`` in place of ``term_ids`` and ``weights``: the highest mean share of the trees."""
+        files = sorted(self.spark.read.parquet(f"{self.path}/data").inputFiles())
+        schema = StructType([f for f in rows.schema if f.name not in ("term_ids", "weights")])
+        schema = schema.add("class", IntegerType()).add("confidence", DoubleType())
+        return rows.mapInArrow(_scored(files, self.n_terms, self.n_classes), schema)
+
+
 def grow_forest(
     notes: DataFrame, n_terms: int, parts: int, n_trees: int, depth: int, least_leaf: int, least_split: int, seed: int
-) -> RandomForestClassificationModel:
+) -> Forest:
     """A forest of staged (label, weight, term_ids, weights), notes kept in ``parts`` or more chunks.
 
     ``weight`` is that of the label. Nodes of fewer than ``least_split`` notes are not split.
     """
     spark = notes.sparkSession
     n_notes = notes.count()
+    if not n_notes:
+        raise ValueError("a forest needs notes")
     found = dict(notes.groupBy("label").agg(F.max("weight")).collect())
     weights = np.array([found.get(float(i), 1.0) for i in range(int(max(found, default=0)) + 1)])
     rules = Rules(n_terms, weights, depth, least_leaf, least_split, seed)
@@ -532,7 +675,7 @@ def grow_forest(
         listed = stage(dealt.mapInArrow(_write(folder, edges), "file string"), "chunk_files")
         # A few hundred notes at least stand in a file.
         files = sorted(r["file"] for r in listed.collect())
-        path = scratch_path(spark, "forest")
+        path = scratch_path(spark, "forest", keep=True)
         numbers = spark.range(0, n_trees, 1, min(n_trees, 2 * cores))
         grown = numbers.mapInArrow(_grown(files, edges, rules), NODES)
         grown.write.parquet(f"{path}/data")
@@ -543,5 +686,4 @@ def grow_forest(
         trees.coalesce(1).write.parquet(f"{path}/treesMetadata")
         line = spark.createDataFrame([(_about(spark, "RandomForest", params, **size, numTrees=n_trees),)], "value string")
         line.coalesce(1).write.text(f"{path}/metadata")
-        # The trees are now held by the driver.
-        return RandomForestClassificationModel.load(path)
+    return Forest(spark, path)

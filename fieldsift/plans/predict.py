@@ -13,6 +13,7 @@ from ..functions.text import clean_note
 from ..operators.contracts import note_status
 from ..operators.model import NoteClassifier
 from ..operators.scoring import RESULT, explain_scores, parsed_results
+from ..session import stage
 
 KEYWORD_METHOD = "keyword"
 
@@ -90,7 +91,7 @@ def predict_tiered(
         F.lit(None).cast("double").alias("latency_seconds"),
     )
     best = F.when(F.col("status") == "ok", F.coalesce("first", fallback))
-    rows = scored.select("note_id", "input_note", "status", best.alias("best"))
+    rows = stage(scored.select("note_id", "input_note", "status", best.alias("best")), "tiers")
     return explain_scores(rows.select("note_id", "input_note", "status", "best.*")).select(
         "note_id", "input_note", "status", *RESULT[:2], "method", RESULT[2],
         "latency_text", "reasoning",

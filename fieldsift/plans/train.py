@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators.metrics import cv_summary
 from ..operators.model import NoteClassifier, cross_validate, evaluate
 from ..operators.sampling import stratified_folds
-from ..session import stage
 from ..sources.artifacts import load_classifier, save_classifier
 from ..sources.reports import write_report
 
@@ -31,7 +30,7 @@ def evaluate_saved(prepared: DataFrame, model_path: str) -> DataFrame:
     """Score the test rows with a saved model and write the report."""
     model = load_classifier(prepared.sparkSession, model_path)
     test = prepared.where(F.col("split") == "test").drop("split")
-    scored = stage(evaluate(model, test), "scored")
+    scored = evaluate(model, test)
     write_report(scored, f"{model_path}/evaluation", model.classes)
     return scored
 

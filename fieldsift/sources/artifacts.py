@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import SparkSession
 
 from ..operators.features import TfidfModel
 from ..operators.model import NoteClassifier
+from ..operators.trees import Forest
 from . import files
 
 PIPELINE_STEPS = ["tfidf", "clf"]
@@ -64,7 +64,7 @@ def load_classifier(spark: SparkSession, path: str, version: int | None = None)
         "classes array<string>, pipeline_steps array<string>, clean boolean"
     ).json(f"{folder}/metadata")
     about = metadata.first()
-    forest = RandomForestClassificationModel.load(f"{folder}/forest")
+    forest = Forest(spark, f"{folder}/forest")
     return NoteClassifier(
         TfidfModel.from_table(vocabulary), forest, list(about["classes"]), about["clean"]
     )

@@ -33,6 +33,14 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def copy_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Copies a folder with its files to a new path."""
+    (fs, old), (other, new) = hadoop_path(spark, source), hadoop_path(spark, target)
+    if other.exists(new):
+        raise FileExistsError(target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, old, other, new, False, spark._jsc.hadoopConfiguration())
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder; none if there is no such folder."""
     fs, path = hadoop_path(spark, folder)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fieldsift.operators import trees
+from fieldsift.operators import model, trees
 
 
 def _sparse(table, labels):
@@ -132,3 +132,27 @@ def test_leaves_that_predict_the_same_are_joined(tmp_path):
             assert n["id"] < pair[0]["id"] and sum(p["rawCount"] for p in pair) == n["rawCount"] >= 5
             assert any(p["leftChild"] >= 0 for p in pair) or pair[0]["prediction"] != pair[1]["prediction"]
             assert len(n["split"]["leftCategoriesOrThreshold"]) == 1
+
+
+def test_scores_equal_those_of_spark_and_no_forest_is_loaded(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 40, 1 + i % 9)), "abc"[rng.integers(3)]) for i in range(300)]
+    notes = spark.createDataFrame(rows, "note_id long, input string, output string")
+    with monkeypatch.context() as patch:
+        patch.setattr(trees.RandomForestClassificationModel, "load", lambda path: 1 / 0)
+        patch.setattr(trees, "SCORED_BYTES", 3000)
+        fitted = model.NoteClassifier.fit(notes, n_trees=6, tree_depth=8)
+        fitted.forest.write().save(str(tmp_path / "forest"))
+        found = {r.note_id: (r.issue_category, r.confidence) for r in fitted.predict(notes).collect()}
+    vectors = fitted.tfidf.transform(notes, "input").withColumn("_features", fitted.tfidf.vector())
+    wide = trees.RandomForestClassificationModel.load(str(tmp_path / "forest")).setFeaturesCol("_features")
+    for row in wide.transform(vectors).collect():
+        assert found[row.note_id] == (fitted.classes[int(row.prediction)], max(row.probability))
+    # A forest that Spark has written, with the nodes of a tree in several files.
+    wide.write().save(str(tmp_path / "again"))
+    saved = spark.read.parquet(str(tmp_path / "again" / "data"))
+    saved.repartition(3, "nodeData.id").write.mode("append").parquet(str(tmp_path / "dealt" / "data"))
+    for part in ("metadata", "treesMetadata"):
+        os.symlink(tmp_path / "again" / part, tmp_path / "dealt" / part)
+    dealt = model.NoteClassifier(fitted.tfidf, trees.Forest(spark, str(tmp_path / "dealt")), fitted.classes)
+    assert {r.note_id: (r.issue_category, r.confidence) for r in dealt.predict(notes).collect()} == found
