@@ -8,7 +8,7 @@ tree. A node looks at its own draw of terms only. Large nodes walk through the
 notes that have these terms, all others through the terms of their notes; what
 a node counts is made of the notes that have a term, the rest is the difference
 to the node. Scored are notes where they are, by the trees of one file after the
-other; no process holds the whole forest.
+other, and the driver holds no more than the bytes of the files.
 
 As in Spark's forests, thresholds come from a sample of notes, each tree draws
 notes by a Poisson distribution, impurity is Gini's, and two leaves that predict
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark import Broadcast
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -516,12 +517,19 @@ def _about(spark: SparkSession, kind: str, params: dict, **more) -> str:
     return json.dumps({**about, **more})
 
 
-def _parts_of(files: list[str]) -> list[list[str]]:
+def _open(file: str | bytes) -> pa.NativeFile:
+    """A file of the shared folder, or one that is held."""
+    if isinstance(file, bytes):
+        return pa.BufferReader(file)
+    fs, path = store(file)
+    return fs.open_input_file(path)
+
+
+def _parts_of(files: list[str | bytes]) -> list[list[str | bytes]]:
     """Files with all nodes of their trees; those that share a tree stay together."""
-    parts: list[tuple[set, list[str]]] = []
+    parts: list[tuple[set, list[str | bytes]]] = []
     for file in files:
-        fs, path = store(file)
-        with fs.open_input_file(path) as source:
+        with _open(file) as source:
             found = pq.read_table(source, columns=["treeID"])["treeID"].unique().to_pylist()
         own, names = set(found), [file]
         for part in [p for p in parts if p[0] & own]:
@@ -534,11 +542,10 @@ def _parts_of(files: list[str]) -> list[list[str]]:
 class _Nodes:
     """The nodes of some trees: split, children, and shares of the classes."""
 
-    def __init__(self, files: list[str]):
+    def __init__(self, files: list[str | bytes]):
         tables = []
         for file in files:
-            fs, path = store(file)
-            with fs.open_input_file(path) as source:
+            with _open(file) as source:
                 rows = pq.read_table(source).combine_chunks()
             for batch in rows.to_batches():
                 data, split = batch.column(1), batch.column(1).field("split")
@@ -579,10 +586,10 @@ class _Nodes:
             sums += self.shares[reached]
 
 
-def _scored(files: list[str], n_terms: int, n_classes: int):
+def _scored(files: list[str] | Broadcast, n_terms: int, n_classes: int):
     """(columns..., class, confidence) of notes by (columns..., term_ids, weights)."""
 
-    def score(held: list[pa.RecordBatch], parts: list[list[str]]) -> Iterator[pa.RecordBatch]:
+    def score(held: list[pa.RecordBatch], parts: list[list[str | bytes]]) -> Iterator[pa.RecordBatch]:
         sizes = np.concatenate([_cells(h.column("term_ids"))[0] for h in held])
         terms, values = (np.concatenate([_cells(h.column(c))[1] for h in held]) for c in ("term_ids", "weights"))
         starts = np.append(0, np.cumsum(sizes))
@@ -608,7 +615,7 @@ def _scored(files: list[str], n_terms: int, n_classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, size = None, [], 0
         for batch in batches:
-            parts = parts or _parts_of(files)
+            parts = parts or _parts_of(files.value if isinstance(files, Broadcast) else files)
             held.append(batch)
             size += batch.nbytes
             if size >= SCORED_BYTES:
@@ -621,17 +628,35 @@ def _scored(files: list[str], n_terms: int, n_classes: int):
 
 
 class Forest:
-    """A saved forest in Spark's format, whose trees are read where notes are scored."""
+    """A saved forest in Spark's format, whose trees are read where notes are scored.
+
+    Its files stay where they are, or are held as the bytes that they have.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.held: dict[str, bytes] = {}
         about = json.loads(spark.read.text(f"{path}/metadata").first()[0])
         self.n_terms, self.n_classes, self.getNumTrees = (about[k] for k in ("numFeatures", "numClasses", "numTrees"))
 
+    def hold(self) -> "Forest":
+        """Takes the files into memory, about 25 bytes a node, so that their folder can go."""
+        fs, path = store(full_path(self.spark, self.path))
+        for info in fs.get_file_info(pafs.FileSelector(path, recursive=True)):
+            if info.is_file and not info.base_name.startswith("."):
+                with fs.open_input_file(info.path) as source:
+                    self.held[info.path.removeprefix(path).lstrip("/")] = source.read()
+        return self
+
     @cached_property
     def model(self) -> RandomForestClassificationModel:
-        """The forest in the driver's memory."""
-        return RandomForestClassificationModel.load(self.path)
+        """The forest in the driver's memory, as Spark has it."""
+        if not self.held:
+            return RandomForestClassificationModel.load(self.path)
+        with scratch(self.spark):
+            path = scratch_path(self.spark, "forest")
+            self.save(path)
+            return RandomForestClassificationModel.load(path)
 
     @property
     def trees(self) -> list:
@@ -641,11 +666,22 @@ class Forest:
         return self
 
     def save(self, path: str) -> None:
-        copy_folder(self.spark, self.path, path)
+        if not self.held:
+            return copy_folder(self.spark, self.path, path)
+        fs, folder = store(full_path(self.spark, path))
+        # The metadata come last, as the mark of a complete forest.
+        for name in sorted(self.held, key=lambda n: n.startswith("metadata/")):
+            fs.create_dir(f"{folder}/{name}".rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(f"{folder}/{name}", compression=None) as file:
+                file.write(self.held[name])
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``class`` and ``confidence`` in place of ``term_ids`` and ``weights``: the highest mean share of the trees."""
-        files = sorted(self.spark.read.parquet(f"{self.path}/data").inputFiles())
+        if self.held:
+            names = sorted(n for n in self.held if n.startswith("data/") and n.endswith(".parquet"))
+            files = self.spark.sparkContext.broadcast([self.held[n] for n in names])
+        else:
+            files = sorted(self.spark.read.parquet(f"{self.path}/data").inputFiles())
         schema = StructType([f for f in rows.schema if f.name not in ("term_ids", "weights")])
         schema = schema.add("class", IntegerType()).add("confidence", DoubleType())
         return rows.mapInArrow(_scored(files, self.n_terms, self.n_classes), schema)
@@ -675,7 +711,7 @@ def grow_forest(
         listed = stage(dealt.mapInArrow(_write(folder, edges), "file string"), "chunk_files")
         # A few hundred notes at least stand in a file.
         files = sorted(r["file"] for r in listed.collect())
-        path = scratch_path(spark, "forest", keep=True)
+        path = scratch_path(spark, "forest")
         numbers = spark.range(0, n_trees, 1, min(n_trees, 2 * cores))
         grown = numbers.mapInArrow(_grown(files, edges, rules), NODES)
         grown.write.parquet(f"{path}/data")
@@ -686,4 +722,4 @@ def grow_forest(
         trees.coalesce(1).write.parquet(f"{path}/treesMetadata")
         line = spark.createDataFrame([(_about(spark, "RandomForest", params, **size, numTrees=n_trees),)], "value string")
         line.coalesce(1).write.text(f"{path}/metadata")
-    return Forest(spark, path)
+        return Forest(spark, path).hold()
